@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, chat_format, quality_rules, url_filters
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_chat_format": chat_format.op5_chat_format,
+    "op7_url_filters": url_filters.op7_url_filters,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 

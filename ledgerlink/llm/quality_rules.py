@@ -156,5 +156,14 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
     return judged.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & ~F.col("outlier")).alias("kept"), "distance2")
 
 
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs, all columns, that the rules keep."""
+    rid = F.xxhash64("doc_id", "text")
+    counted = base_counts(docs.select("doc_id", "text", "lang", "source", rid.alias("_rid")), ("lang", "source", "_rid"))
+    judged = robust_outliers(counted, statistics(), **options)
+    good = judged.where(~base_failed() & ~F.col("outlier")).select("_rid")
+    return docs.withColumn("_rid", rid).join(good, "_rid", "left_semi").drop("_rid")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))

@@ -7,12 +7,12 @@ words. alpha(h) is the mass that h has left over the unigram mass of words not s
 all words and the unknown class add up to 1 for every history. A history whose counts are all above k, and so has
 nothing left, gives one count to unseen words.
 
-Tables are partitioned, never gathered. Pairs are dealt by history and a salt of the word, so that a history which a
-third of all tokens have is spread over SALTS parts; a part keeps its pairs' training counts and, per text, how often
-each occurs. Two rounds of questions fill in what a part cannot know: its words' total counts (owned by word), and its
-histories' left-over mass (owned by history; each part sends sums only). Then each part evaluates its tokens and sends
-sums per text. The dealt parts are shuffle files that every round reads again; if an executor is lost Spark makes its
-part anew from the texts.
+Tables are partitioned, never gathered. Pairs are dealt by history; the few histories that are a large share of all
+tokens (`hot_histories`, at most 4 a part) are spread over SALTS parts by their words. A part keeps its pairs' training
+counts and, per text, how often each occurs. A part asks for its words' total counts (owned by word), and for what a
+hot history has left over (each part sends sums, owned by history). Then it evaluates its tokens and sends sums per
+text. The dealt parts are shuffle files that every round reads again; if an executor is lost Spark makes its part anew
+from the texts. Which histories count as hot changes the layout only.
 
 Defined cases: null and empty texts are one end token. Repeated rows each count in training and each get the score.
 A null doc_id is trained on (its remainder is unknown) and not held out. Extra columns are ignored. Without training
@@ -36,7 +36,7 @@ SALTS = 16
 #: Highest count that is discounted.
 K = 5
 #: Text that is counted together before it is dealt.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 _PAIR = U64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +66,36 @@ def _tokens(buf: np.ndarray, off: np.ndarray):
     return doc, h, w
 
 
-def _deal(n: int):
+def _frequent(n: int):
+    """Words, ends and starts that are at least 1 / (8 n) of a chunk's tokens, with their counts; and all tokens, as word 0."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            buf, off = arrow_bytes(batch.column(0))
+            for i, j in slices(np.diff(off), CHUNK_BYTES):
+                _, h, _ = _tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                word, count = np.unique(h, return_counts=True)
+                many = count * 8 * n >= len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(word[many], U64(0)).view(np.int64)), pa.array(np.append(count[many], len(h)))], names=["word", "n"])
+
+    return run
+
+
+def hot_histories(rows: DataFrame, n: int) -> np.ndarray:
+    """Histories of at least 1 / (4 n) of all tokens: at most 4 n of them."""
+    counted = rows.select("text").mapInArrow(_frequent(n), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.where("word = 0").agg(F.sum("n")).first()[0] or 0
+    found = counted.where((F.col("word") != 0) & (F.col("n") * 4 * n >= total)).select("word").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(U64))
+
+
+def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
+
+def _deal(n: int, hot: np.ndarray):
     """(part, packed pairs) of the texts of each batch."""
 
     def run(batches: Iterator) -> Iterator:
@@ -89,7 +118,8 @@ def _deal(n: int):
                 times, post_doc = np.diff(np.append(at, len(doc))), doc[at]
                 n_post = np.add.reduceat(post.astype(np.int64), begin)
                 h, w = h[begin], w[begin]
-                part = (mix(h + (w % U64(SALTS)) * _PAIR) % U64(n)).astype(np.int64)
+                salt = np.where(_is_hot(h, hot), w % U64(SALTS), U64(0))
+                part = (mix(h + salt * _PAIR) % U64(n)).astype(np.int64)
                 by = np.lexsort((h, part))
                 first = np.cumsum(n_post) - n_post
                 edge = np.searchsorted(part[by], np.arange(n + 1))
@@ -186,24 +216,30 @@ def _load(items: Iterator) -> tuple[list[bytes], dict[str, list]]:
     return blobs, told
 
 
-def _look_up(told: list, keys: np.ndarray, column: int) -> np.ndarray:
-    known = np.concatenate([t[0] for t in told])
-    value = np.concatenate([t[column] for t in told])
-    by = np.argsort(known)
-    return value[by][np.searchsorted(known[by], keys)]
+def _words_of(x: _Part, n: int):
+    """The part's distinct words (an end stands for starts), place of each pair's word and history among them, and owner of each."""
+    words, at = np.unique(np.concatenate([x.w, np.where(x.h == START, END, x.h)]), return_inverse=True)
+    return words, at[: len(x.w)], at[len(x.w) :], (mix(words) % U64(n)).astype(np.int64)
+
+
+def _filled(told: list, owner: np.ndarray, column: int = 1) -> np.ndarray:
+    """Answers of all owners in the order of the questions."""
+    out = np.zeros(len(owner))
+    for t in told:
+        out[owner == t[0]] = t[column]
+    return out
 
 
 def _ask_words(n: int):
-    """Every word of a part with its training count there; histories ask with a count of 0."""
+    """Every word of a part with its training count there."""
 
     def run(part: int, items: Iterator) -> Iterator:
         blobs, _ = _load(items)
         if not blobs:
             return
         x = _Part(blobs)
-        words, at = np.unique(np.concatenate([x.w, np.where(x.h == START, END, x.h)]), return_inverse=True)
-        count = np.bincount(at, weights=np.append(x.count, np.zeros(len(x.h))), minlength=len(words)).astype(np.int64)
-        owner = (mix(words) % U64(n)).astype(np.int64)
+        words, at, _, owner = _words_of(x, n)
+        count = np.bincount(at, weights=x.count, minlength=len(words)).astype(np.int64)
         for o in np.unique(owner):
             m = owner == o
             yield int(o), ("ask", pickle.dumps((part, words[m], _small(count[m])), 5))
@@ -227,58 +263,58 @@ def _word_stats(items: Iterator) -> Iterator:
     yield np.concatenate([pairs, _counts_of(counts), [counts.sum(), len(counts), counts[counts > K].sum()]])
 
 
-def _tell_words(items: Iterator) -> Iterator:
-    _, told = _load(items)
-    if "ask" in told:
-        _, at, (counts,) = _sum_up(told["ask"])
-        i = 0
-        for part, words, _ in told["ask"]:
-            yield part, ("words", pickle.dumps((words, counts[at[i : i + len(words)]].astype(np.int64)), 5))
-            i += len(words)
+def _tell(question: str, answer: str):
+    """Sums of what all parts have sent, to each part in the order of its question."""
+
+    def run(owner: int, items: Iterator) -> Iterator:
+        _, told = _load(items)
+        if question in told:
+            _, at, sums = _sum_up(told[question])
+            i = 0
+            for part, keys, *_ in told[question]:
+                m = at[i : i + len(keys)]
+                columns = [v[m] for v in sums]
+                columns = [_small(v.astype(np.int64)) if question == "ask" else v for v in columns]
+                yield part, (answer, pickle.dumps((owner, *columns), 5))
+                i += len(keys)
+
+    return run
+
 
+class _Model:
+    """What a part knows once its words' counts are told."""
+
+    def __init__(self, x: _Part, told: dict, n: int, unigrams: Unigrams, d2: np.ndarray, hot: np.ndarray):
+        words, w_at, h_at, owner = _words_of(x, n)
+        count = _filled(told["words"], owner).astype(np.int64)
+        self.c1 = count[w_at]
+        self.lower = unigrams.p(self.c1)
+        self.mass = np.where(x.count > K, x.count, d2[np.minimum(x.count, K)] * x.count)
+        self.hist, first, self.at = np.unique(x.h, return_index=True, return_inverse=True)
+        self.total = count[h_at][first]
+        seen = x.count > 0
+        self.a = np.bincount(self.at[seen], weights=self.mass[seen], minlength=len(self.hist))
+        self.b = np.bincount(self.at[seen], weights=self.lower[seen], minlength=len(self.hist))
+        self.hot = np.flatnonzero(_is_hot(self.hist, hot))
+        self.owner = (mix(self.hist[self.hot]) % U64(n)).astype(np.int64)
 
-def _left_over(n: int, unigrams: Unigrams, d2: np.ndarray):
-    """Each history's discounted counts, and the unigram mass of the words seen after it."""
+
+def _left_over(n: int, *known):
+    """Hot histories' discounted counts in this part, and the unigram mass of the words seen after them here."""
 
     def run(part: int, items: Iterator) -> Iterator:
         blobs, told = _load(items)
         if not blobs:
             return
-        x = _Part(blobs)
-        hist, at = np.unique(x.h, return_inverse=True)
-        total = _look_up(told["words"], np.where(hist == START, END, hist), 1)
-        seen = x.count > 0
-        mass = np.where(x.count > K, x.count, d2[np.minimum(x.count, K)] * x.count)
-        lower = unigrams.p(_look_up(told["words"], x.w, 1))
-        a = np.bincount(at[seen], weights=mass[seen], minlength=len(hist))
-        b = np.bincount(at[seen], weights=lower[seen], minlength=len(hist))
-        owner = (mix(hist) % U64(n)).astype(np.int64)
-        for o in np.unique(owner):
-            m = owner == o
-            yield int(o), ("left", pickle.dumps((part, hist[m], a[m], b[m], total[m] / 1.0), 5))
+        m = _Model(_Part(blobs), told, n, *known)
+        for o in np.unique(m.owner):
+            k = m.hot[m.owner == o]
+            yield int(o), ("left", pickle.dumps((part, m.hist[k], m.a[k], m.b[k]), 5))
 
     return run
 
 
-def _tell_left(items: Iterator) -> Iterator:
-    """Denominator and backoff weight of each history; 0 and 1 for histories that training does not have."""
-    _, told = _load(items)
-    if "left" not in told:
-        return
-    keys, at, (a, b, totals) = _sum_up(told["left"])
-    total = totals / np.bincount(at, minlength=len(keys))  # every part knows the whole total
-    has = total > 0
-    below = np.where(has & (total - a < 1e-9 * total), total + 1, total)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(has, (1 - a / below) / (1 - b), 1.0)
-    i = 0
-    for part, hist, *_ in told["left"]:
-        m = at[i : i + len(hist)]
-        yield part, ("histories", pickle.dumps((hist, below[m], alpha[m]), 5))
-        i += len(hist)
-
-
-def _evaluate(n: int, unigrams: Unigrams, d2: np.ndarray, vocabulary: int):
+def _evaluate(n: int, unigrams: Unigrams, d2: np.ndarray, hot: np.ndarray, vocabulary: int):
     """Sums per text of a part's tokens."""
 
     def run(items: Iterator) -> Iterator:
@@ -286,18 +322,22 @@ def _evaluate(n: int, unigrams: Unigrams, d2: np.ndarray, vocabulary: int):
         if not blobs:
             return
         x = _Part(blobs)
-        c1 = _look_up(told["words"], x.w, 1)
-        below, alpha = _look_up(told["histories"], x.h, 1), _look_up(told["histories"], x.h, 2)
-        mass = np.where(x.count > K, x.count, d2[np.minimum(x.count, K)] * x.count)
-        p = np.where(x.count > 0, mass / np.maximum(below, 1), alpha * unigrams.p(c1))
-        score, known = np.log10(p), (c1 > 0).astype(float)
-        base = np.log10((c1 + 1) / (unigrams.total + vocabulary + 1))
+        m = _Model(x, told, n, unigrams, d2, hot)
+        if len(m.hot):
+            m.a[m.hot], m.b[m.hot] = _filled(told["left over"], m.owner, 1), _filled(told["left over"], m.owner, 2)
+        has = m.total > 0
+        below = np.where(has & (m.total - m.a < 1e-9 * m.total), m.total + 1, m.total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(has, (1 - m.a / below) / (1 - m.b), 1.0)
+        p = np.where(x.count > 0, m.mass / np.maximum(below[m.at], 1), alpha[m.at] * m.lower)
+        score, known = np.log10(p), (m.c1 > 0).astype(float)
+        base = np.log10((m.c1 + 1) / (unigrams.total + vocabulary + 1))
         t = x.times.astype(float)
         sums = [np.bincount(x.doc, weights=t * v[x.pair], minlength=len(x.rids)) for v in (np.ones(len(x.h)), known, base, score)]
         owner = np.mod(x.rids, n)
         for o in np.unique(owner):
-            m = owner == o
-            yield int(o), ("sums", pickle.dumps((0, x.rids[m], sums[0][m].astype(np.int32), sums[1][m].astype(np.int32), sums[2][m], sums[3][m]), 5))
+            k = owner == o
+            yield int(o), ("sums", pickle.dumps((0, x.rids[k], _small(sums[0][k].astype(np.int64)), _small(sums[1][k].astype(np.int64)), sums[2][k], sums[3][k]), 5))
 
     return run
 
@@ -314,18 +354,19 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = buckets(spark)
     rows = with_row_ids(docs).withColumn("held", held_out(F.col("doc_id")) if held is None else held)
+    hot = hot_histories(rows, n)
     route = lambda part: part
-    dealt = rows.select("rid", ~F.col("held"), "text").mapInArrow(_deal(n), "part int, pairs binary").rdd.map(lambda r: (r[0], ("pairs", bytes(r[1])))).partitionBy(n, route)
+    pairs = rows.select("rid", ~F.col("held"), "text").mapInArrow(_deal(n, hot), "part int, pairs binary")
+    dealt = pairs.rdd.map(lambda r: (r[0], ("pairs", bytes(r[1])))).partitionBy(n, route)
     n = dealt.getNumPartitions()
     asked = dealt.mapPartitionsWithIndex(_ask_words(n)).partitionBy(n, route)
     stats = asked.mapPartitions(_word_stats).reduce(np.add)  # 2 * (K + 1) + 3 numbers
     pair_n, word_n, (total, vocabulary, tail) = stats[: K + 1], stats[K + 1 : 2 * K + 2], (int(v) for v in stats[2 * K + 2 :])
     unigrams, d2 = Unigrams(word_n, total, tail), discounts(pair_n)
-    words = asked.mapPartitions(_tell_words).partitionBy(n, route)
-    both = dealt.union(words)
-    left = both.mapPartitionsWithIndex(_left_over(n, unigrams, d2)).partitionBy(n, route)
-    histories = left.mapPartitions(_tell_left).partitionBy(n, route)
-    sums = both.union(histories).mapPartitions(_evaluate(n, unigrams, d2, vocabulary)).partitionBy(n, route).mapPartitions(_gather)
+    both = dealt.union(asked.mapPartitionsWithIndex(_tell("ask", "words")).partitionBy(n, route))
+    left = both.mapPartitionsWithIndex(_left_over(n, unigrams, d2, hot)).partitionBy(n, route)
+    full = both.union(left.mapPartitionsWithIndex(_tell("left", "left over")).partitionBy(n, route))
+    sums = full.mapPartitions(_evaluate(n, unigrams, d2, hot, vocabulary)).partitionBy(n, route).mapPartitions(_gather)
     per = spark.createDataFrame(sums, "rid long, n_tokens long, n_known long, base_score double, score double")
     copies = rows.groupBy("rid", "doc_id", "held").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     out = copies.join(per, "rid").select(

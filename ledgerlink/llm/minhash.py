@@ -3,10 +3,10 @@
 Each text's set of k-word shingles is hashed once; the hash's top bits choose a bin, the least hash of a bin is its
 signature value, and an empty bin takes the value of the first non-empty bin in its own pseudo-random order. Equal sets
 form a class at once (pre-aggregated, so thousands of copies are one row afterwards). Classes that share a band of
-signature values share a bucket. A bucket's candidates are stars: its first member against all others, then, only where
-its members still lie in different components, the next one, two, four ... members against those after them. So
-the rounds end with every pair of a bucket either inside one component or compared, without listing the pairs of a
-group of near copies. A candidate whose signatures agree far less than the threshold asks for is dropped; all others
+signature values share a bucket. A bucket's candidates are stars: its first member against all others; then, only where
+the others lie in several components, 4, 16, 64 ... further members, those of small components first. The rounds end
+with every pair of a bucket either inside one component or compared, without listing the pairs of a group of near
+copies. A candidate whose signatures agree far less than the threshold asks for is dropped; all others
 are confirmed on their full sets.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are kept. A text with fewer
@@ -147,6 +147,16 @@ def _confirm(percent: int):
     return run, "u long, v long"
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: only the components that a link touches are looked at."""
+    home = comp.select(F.col("id").alias("u"), F.col("component").alias("cu"))
+    ends = links.join(home, "u", "left").join(home.withColumnsRenamed({"u": "v", "cu": "cv"}), "v", "left")
+    joined = cut(connected(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))), "joined")
+    to = joined.withColumnsRenamed({"id": "component", "component": "to"})
+    moved = comp.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(joined.join(comp.select("id"), "id", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links need 100 * intersection >= percent * union."""
     run, schema = _signature_rows(k)
@@ -175,24 +185,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = F.expr(f"100 * least(n, n_v) >= {percent} * greatest(n, n_v)")
     sizes = classes.select(F.col("rep").alias("center"), F.col("n").alias("n_v"))
     first = members.where("rep <> center").join(sizes, "center").where(near).select(F.col("rep").alias("u"), F.col("center").alias("v"))
-    links = cut(compared(first), "links")
-    comp = cut(connected(links), "components")
-    done = 1
+    comp = cut(connected(cut(compared(first), "links")), "components")
+    # the first centre of every bucket has met all others; what is left of a bucket goes on while it lies in several components
+    left = members.where("rep <> center").select("key", "rep", "n")
+    centers = 4
     while True:
-        # buckets whose members still lie in several components, ranked; the next centres are ranks done+1 .. 2*done
-        label = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = label.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"lo < hi and size > {done + 1}")
-        ranked = label.join(mixed.select("key"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep")))
-        ranked = cut(ranked, "ranked")
-        centers = ranked.where(f"rank > {done} and rank <= {2 * done}").select("key", F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("cv"), F.col("rank").alias("rank_v"))
-        pairs = ranked.join(centers, "key").where((F.col("rank") > F.col("rank_v")) & (F.col("component") != F.col("cv")) & near).select(F.col("rep").alias("u"), "v")
-        done *= 2
-        if ranked.limit(1).count() == 0:
+        label = left.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        sizes = label.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
+        # members of small components come first: the largest need not be a centre's home
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "component", "rep"))
+        ranked = cut(label.join(mixed, "key").join(sizes, ["key", "component"]).withColumn("rank", rank), "ranked")
+        if not ranked.limit(1).count():
             break
+        center = ranked.where(F.col("rank") <= centers).select("key", F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("cv"), F.col("rank").alias("rank_v"))
+        pairs = ranked.join(center, "key").where((F.col("rank") > F.col("rank_v")) & (F.col("component") != F.col("cv")) & near).select(F.col("rep").alias("u"), "v")
         more = cut(compared(pairs), "links")
         if more.limit(1).count():
-            links = links.unionByName(more)
-            comp = cut(connected(links), "components")
+            comp = cut(_merged(comp, more), "components")
+        left = ranked.where(F.col("rank") > centers).select("key", "rep", "n")
+        centers *= 4
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sigs.join(of_class, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,8 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+
+# Large arrays go back to the system when they are freed, so workers that wait between stages are small.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
 #: Text is handled in slices of about so many bytes, which bounds the memory of a task whatever the batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _own_dirs: dict[int, str] = {}
 

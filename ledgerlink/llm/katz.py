@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RangeHash, U64, arrow_bytes, buckets, documents, lower_ascii, mix, slices, word_ranges
-from .packed import with_row_ids
+from .packed import planes, unplanes, with_row_ids
 
 END, START = U64(0x51ED270B35AE6D11), U64(0x8C3C5A4E6BD1F00D)
 SALTS = 16
@@ -133,7 +133,7 @@ def _deal(n: int, hot: np.ndarray):
                     hist, runs = np.unique(h[u], return_counts=True)
                     dictionary, w_at = np.unique(w[u], return_inverse=True)
                     texts, text_at = np.unique(post_doc[q], return_inverse=True)
-                    out.append(pickle.dumps([hist, _small(runs), dictionary, _small(w_at), _small(count[u]), _small(m), rids[i:j][texts], _small(text_at), _small(times[q])], 5))
+                    out.append(pickle.dumps([planes(hist), _small(runs), planes(dictionary), _small(w_at), _small(count[u]), _small(m), rids[i:j][texts], _small(text_at), _small(times[q])], 5))
                     out_part.append(p)
                 yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out, pa.binary())], names=["part", "pairs"])
 
@@ -147,26 +147,33 @@ class _Part:
         h, w, c, owner, doc, times, rids = [], [], [], [], [], [], []
         base = 0
         n_rid = 0
-        for blob in blobs:
-            hist, runs, dictionary, w_at, count, n_post, texts, text_at, t = pickle.loads(blob)
-            h.append(np.repeat(hist, runs))
-            w.append(dictionary[w_at])
-            c.append(count.astype(np.int64))
-            owner.append(np.repeat(np.arange(base, base + len(w_at)), n_post))
-            doc.append(text_at.astype(np.int64) + n_rid)
-            times.append(t.astype(np.int64))
+        while blobs:
+            hist, runs, dictionary, w_at, count, n_post, texts, text_at, t = pickle.loads(blobs.pop())
+            h.append(np.repeat(unplanes(hist, U64), runs))
+            w.append(unplanes(dictionary, U64)[w_at])
+            c.append(count)
+            owner.append(np.repeat(np.arange(base, base + len(w_at), dtype=np.int32), n_post))
+            doc.append(text_at.astype(np.int32) + np.int32(n_rid))
+            times.append(t)
             rids.append(texts)
             base += len(w_at)
             n_rid += len(texts)
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        h, w, c = cat(h, U64), cat(w, U64), cat(c, np.int64)
+
+        def cat(parts: list, kind):
+            out = np.concatenate(parts) if parts else np.zeros(0, kind)
+            parts.clear()
+            return out
+
+        h, w, c = cat(h, U64), cat(w, U64), cat(c, np.uint8)
         _, first, merged = np.unique(mix(h * _PAIR + w), return_index=True, return_inverse=True)
+        merged = merged.astype(np.int32)
         self.h, self.w = h[first], w[first]
         self.count = np.bincount(merged, weights=c, minlength=len(first)).astype(np.int64)
-        self.pair = merged[cat(owner, np.int64)] if len(merged) else np.zeros(0, np.int64)
+        del h, w, c, first
+        self.pair = merged[cat(owner, np.int32)] if len(merged) else np.zeros(0, np.int32)
         self.rids, at = np.unique(cat(rids, np.int64), return_inverse=True)
-        self.doc = at[cat(doc, np.int64)] if len(at) else np.zeros(0, np.int64)
-        self.times = cat(times, np.int64)
+        self.doc = at.astype(np.int32)[cat(doc, np.int32)] if len(at) else np.zeros(0, np.int32)
+        self.times = cat(times, np.uint8)
 
 
 def _counts_of(counts: np.ndarray) -> np.ndarray:

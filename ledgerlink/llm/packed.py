@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from .common import csr_gather
 
 
-def _planes(x: np.ndarray) -> bytes:
+def planes(x: np.ndarray) -> bytes:
     """Bytes of equal rank together: shuffle compression finds the empty ones."""
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _unplanes(data, kind) -> np.ndarray:
+def unplanes(data, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
@@ -39,14 +39,14 @@ class Packing:
         for name, kind in self.kinds.items():
             x = columns.get(name)
             x = None if x is None else np.ascontiguousarray(x[order].astype(kind))
-            blobs.append(pa.array([None if x is None else _planes(x[a:b]) for a, b in zip(begin, end)], pa.binary()))
+            blobs.append(pa.array([None if x is None else planes(x[a:b]) for a, b in zip(begin, end)], pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *blobs], names=["bucket", *self.kinds])
 
     def unpack(self, batches: list, names: tuple[str, ...]) -> dict[str, np.ndarray]:
         out = {}
         for name in names:
             kind = self.kinds[name]
-            parts = [_unplanes(v.as_buffer(), kind) for b in batches for v in b.column(b.schema.get_field_index(name)) if v.is_valid]
+            parts = [unplanes(v.as_buffer(), kind) for b in batches for v in b.column(b.schema.get_field_index(name)) if v.is_valid]
             out[name] = np.concatenate(parts) if parts else np.zeros(0, kind)
         return out
 

@@ -150,9 +150,9 @@ def _confirm(percent: int):
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links: only the components that a link touches are looked at."""
     home = comp.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-    ends = links.join(home, "u", "left").join(home.withColumnsRenamed({"u": "v", "cu": "cv"}), "v", "left")
+    ends = links.join(home, "u", "left").join(home.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
     joined = cut(connected(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))), "joined")
-    to = joined.withColumnsRenamed({"id": "component", "component": "to"})
+    to = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
     moved = comp.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     return moved.unionByName(joined.join(comp.select("id"), "id", "left_anti"))
 

@@ -85,6 +85,28 @@ def test_near_duplicates_of_a_chain(spark):
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == ref.near_duplicates(rows, 5, 80)
 
 
+def test_near_duplicates_in_rounds(spark):
+    """Families around several originals whose copies resemble their original more than each other."""
+    from ledgerlink.llm.components import connected
+    from ledgerlink.llm.minhash import _merged, near_duplicates
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for f in range(3):
+        base = [f"w{rng.integers(10**6)}" for _ in range(150)]
+        for c in range(60):
+            w = list(base)
+            for at in rng.choice(150, 5 if c else 0, replace=False):
+                w[at] = f"x{rng.integers(10**6)}"
+            rows.append((1000 * f + (500 - c), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates(df, 3, 85).collect()) == ref.near_duplicates(rows, 3, 85)
+    pairs_ = lambda x: spark.createDataFrame(x, "u long, v long")
+    first = connected(pairs_([(1, 2), (3, 4), (5, 6)]))
+    got = {r.id: r.component for r in _merged(first, pairs_([(4, 2), (9, 6), (10, 9), (2, 1)])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 10: 5}
+
+
 def test_quality_counts(docs, odd):
     from ledgerlink.llm.quality_rules import base_counts, base_failed
 

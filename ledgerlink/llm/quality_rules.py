@@ -4,7 +4,8 @@ Every document gets exact counts (words, symbols, repeated lines, words in repea
 transformed statistics; for each language and source a minimum-covariance-determinant estimate of their location and
 scatter is found by concentration steps (keep the share `h` of rows nearest by Mahalanobis distance, estimate again),
 and a document further away than a chi-square limit is rejected. Everything is DataFrame work: two grouped aggregates
-per step over a narrow table of statistics, and estimates of a few numbers per group.
+per step over a narrow table of statistics, which combine before the shuffle, and estimates of a few numbers per group,
+joined by group and salt so that a hot source spreads over tasks.
 
 Groups of fewer than `min_group` documents pool by language, and pools still smaller share one estimate. A ridge on the
 scatter keeps estimates of constant statistics defined.
@@ -24,6 +25,7 @@ from .common import cut, documents
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+SALTS = 16
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -116,6 +118,11 @@ def _moments(df: DataFrame, p: int, ridge: float) -> DataFrame:
     return g.select("_g", *[f"m{i}" for i in range(p)], *cov)
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """A group's few numbers for each part of its rows: a group with a large share of all rows is joined in SALTS places."""
+    return groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def robust_outliers(rows: DataFrame, stats: list[Column], h: float = 0.75, steps: int = 3, z: float = 13.0, ridge: float = 0.01, min_group: int = 100, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """`rows` with distance2 (scaled to a chi-square of len(stats) degrees) and outlier.
 
@@ -128,8 +135,9 @@ def robust_outliers(rows: DataFrame, stats: list[Column], h: float = 0.75, steps
     small = F.when(F.col("_n") < min_group, F.col("_n")).otherwise(0)
     pool = per.select("_a", "_b", "_n", F.sum(small).over(Window.partitionBy("_a")).alias("_pool"))
     to = F.when(F.col("_n") >= min_group, F.concat_ws("\u0001", F.lit("s"), "_a", "_b")).when(F.col("_pool") >= min_group, F.concat_ws("\u0001", F.lit("l"), "_a")).otherwise(F.lit("*"))
-    rows = rows.join(pool.select("_a", "_b", to.alias("_g")), ["_a", "_b"])
-    narrow = rows.select("_g", *[f"x{i}" for i in range(p)])
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = cut(rows.join(_salted(pool.select("_a", "_b", to.alias("_g"))), ["_a", "_b", "_salt"]), "pooled")
+    narrow = rows.select("_g", "_salt", *[f"x{i}" for i in range(p)])
 
     # start: medians and quartile ranges, statistic by statistic
     quart = narrow.groupBy("_g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(p)])
@@ -137,15 +145,15 @@ def robust_outliers(rows: DataFrame, stats: list[Column], h: float = 0.75, steps
     start = quart.select("_g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
     estimate = cut(_factor(start, p), "estimate")
     for _ in range(steps):
-        near = narrow.join(estimate, "_g").select("_g", *[f"x{i}" for i in range(p)], _distance(p).alias("_d"))
+        near = narrow.join(_salted(estimate), ["_g", "_salt"]).select("_g", "_salt", *[f"x{i}" for i in range(p)], _distance(p).alias("_d"))
         limit = near.groupBy("_g").agg(F.percentile_approx("_d", h, 2000).alias("_limit"))
-        estimate = cut(_factor(_moments(near.join(limit, "_g").where("_d <= _limit"), p, ridge), p), "estimate")
-    near = rows.join(estimate, "_g").withColumn("_d", _distance(p)).drop(*[f"m{i}" for i in range(p)], *[f"w{i}_{j}" for i in range(p) for j in range(i + 1)])
+        estimate = cut(_factor(_moments(near.join(_salted(limit), ["_g", "_salt"]).where("_d <= _limit"), p, ridge), p), "estimate")
+    near = rows.join(_salted(estimate), ["_g", "_salt"]).withColumn("_d", _distance(p)).drop(*[f"m{i}" for i in range(p)], *[f"w{i}_{j}" for i in range(p) for j in range(i + 1)])
     middle = near.groupBy("_g").agg(F.percentile_approx("_d", 0.5, 2000).alias("_mid"))
     # estimates on the nearest share are too narrow: scale to the median of a chi-square, and never let scatter shrink
     scaled = F.col("_d") * F.least(F.lit(1.0), F.lit(chi_square(p, 0.0)) / F.greatest(F.col("_mid"), F.lit(1e-9)))
-    out = near.join(middle, "_g").withColumn("distance2", scaled).withColumn("outlier", F.col("distance2") > F.lit(chi_square(p, z)))
-    return out.drop("_g", "_a", "_b", "_d", "_mid", *[f"x{i}" for i in range(p)])
+    out = near.join(_salted(middle), ["_g", "_salt"]).withColumn("distance2", scaled).withColumn("outlier", F.col("distance2") > F.lit(chi_square(p, z)))
+    return out.drop("_g", "_salt", "_a", "_b", "_d", "_mid", *[f"x{i}" for i in range(p)])
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:

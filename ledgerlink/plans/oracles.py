@@ -140,4 +140,10 @@ ORACLES: dict[str, str] = {
     "l12_rank": """SELECT seq, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, ord) AS rank FROM (
       SELECT seq, ord, round(0.6e0 * 0e0 + 0.4e0 * least(CASE WHEN abs(x - a) < 1 THEN 0.40e0 WHEN 100 * abs(x - a) < 5 * a THEN 0.30e0 WHEN 100 * abs(x - a) < 20 * a THEN 0.15e0 ELSE 0e0 END + 0.25e0 + CASE WHEN abs(day - due) <= 7 THEN 0.20e0 WHEN abs(day - due) <= 30 THEN 0.10e0 ELSE 0e0 END + 0e0, 1e0), 6) AS score
       FROM payments p JOIN invoices i ON p.did = i.did WHERE seq % 10 = 9) t) u WHERE rank <= 5""",
+    "l10_psi": """WITH v AS (SELECT seq % 2 AS side, x * 1e0 AS v FROM payments), b AS (SELECT min(v) AS lo, max(v) AS hi FROM v), c AS (SELECT side, least(9, CAST(floor((v - lo) / ((hi - lo) / 10)) AS int)) AS k FROM v, b),
+      n AS (SELECT count(*) FILTER (side = 0) AS ne, count(*) FILTER (side = 1) AS na FROM v), h AS (SELECT g.k, count(c.k) FILTER (side = 0) AS e, count(c.k) FILTER (side = 1) AS a FROM (SELECT unnest(range(10)) AS k) g LEFT JOIN c ON g.k = c.k GROUP BY g.k)
+      SELECT round(sum((a * 1e0 / na - e * 1e0 / ne) * ln((a * 1e0 / na + 1e-6) / (e * 1e0 / ne + 1e-6))), 6) AS psi FROM h, n""",
+    "r9_top_tokens": """WITH t AS (SELECT did, unnest(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(label), '\\b(FAC|INV)[A-Z]*[ /-]*[0-9O]+([ /-]+[0-9O]+)*', '<REF>', 'g'), '\\bPO[ /-]*[0-9]+', '<PO>', 'g'), '\\bBL[ /-]*[0-9]+', '<BL>', 'g'), '\\b[0-9]+\\b', '<NUM>', 'g'), '\\s+')) AS token FROM payments)
+      SELECT did, token, n FROM (SELECT did, token, count(*) AS n, row_number() OVER (PARTITION BY did ORDER BY count(*) DESC, token) AS k FROM t WHERE token NOT IN ('', 'DE', 'DU', 'LA', 'LE', 'LES', 'DES', 'ET', 'THE', 'OF', 'AND', 'FOR') GROUP BY did, token) u WHERE k <= 15""",
+    "r9_label_profile": "SELECT did, round(avg(length(label)), 6) AS mean_length, round(avg(CASE WHEN length(trim(label)) < 3 THEN 1e0 ELSE 0e0 END), 6) AS empty_share, round(avg(CASE WHEN len(string_split_regex(trim(label), '\\s+')) <= 2 THEN 1e0 ELSE 0e0 END), 6) AS short_share FROM payments GROUP BY did",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals, similarity, text
 from ..operators import combinatorial as cb
-from ..operators import exact, fuzzy, scoring, temporal, tolerance
+from ..operators import exact, fuzzy, profiler, scoring, temporal, tolerance
 from ..sources.fixtures import oracle, run_sql, table, view
 from . import cascade, sequential
 from .oracles import ORACLES
@@ -212,7 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m5_tfidf_top": _views(P, I)(lambda p, i: fuzzy.tfidf_top(_prepared(p), i).select("seq", "ord", "cos", "k")),
     "m6_tfidf_match": _views(P, I)(lambda p, i: fuzzy.tfidf_match(_prepared(p), i)),
     "l1_features": l_features, "l6_ensemble": l_ensemble, "l9_active_learning": l_active, "l10_psi": l_psi, "l12_rank": l_rank, "l13_combinations": l_combinations,
-    "x4_depletion": x4_depletion,
+    "x4_depletion": x4_depletion, "r9_top_tokens": _views(P)(profiler.top_tokens), "r9_label_profile": _views(P)(profiler.label_profile),
     **{name: _report(sql) for name, sql in REPORTS.items()},
 }
 

@@ -93,4 +93,13 @@ REPORTS = {
     "o4_should_retrain": _over("SELECT CASE WHEN count(CASE WHEN NOT matched THEN 1 END) >= 100 THEN 'feedback' ELSE 'none' END AS reason FROM results"),
     "o1_feedback": _over("SELECT seq, ord = seq AS is_correct FROM results WHERE matched"),
     "b1_largest_15": "SELECT did, ord, pos FROM (SELECT did, ord, row_number() OVER (PARTITION BY did ORDER BY a DESC, ord) - 1 AS pos, count(*) OVER (PARTITION BY did) AS n FROM invoices) t WHERE pos < 15 AND n >= 2",
+    "r10_boost": _over(
+        "SELECT r.seq, round(greatest(-0.10e0, least(0.10e0, CASE WHEN m.share > 0.3e0 THEN 0.03e0 WHEN m.share < 0.05e0 THEN -0.02e0 ELSE 0e0 END + CASE WHEN r.x BETWEEN p.m - 2 * p.s AND p.m + 2 * p.s THEN 0.02e0 WHEN r.x > 1.5e0 * (p.m + 2 * p.s) THEN -0.03e0 ELSE 0e0 END)), 6) AS boost "
+        "FROM results r JOIN (SELECT did, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM results GROUP BY did) p ON r.did = p.did "
+        "JOIN (SELECT did, method, 1e0 * count(*) / sum(count(*)) OVER (PARTITION BY did) AS share FROM results GROUP BY did, method) m ON r.did = m.did AND r.method = m.method WHERE p.n >= 5"
+    ),
+    "a11_recommendations": _over(
+        "SELECT seq, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, ord) AS k FROM (SELECT r.seq, i.ord, CASE WHEN r.x = i.a THEN 40 WHEN r.x = i.ht THEN 35 WHEN 20 * abs(r.x - i.a) < i.a THEN 30 WHEN 5 * abs(r.x - i.a) < i.a THEN 15 ELSE 0 END "
+        "+ 25 + CASE WHEN abs(datediff(r.day, i.due)) <= 7 THEN 20 WHEN abs(datediff(r.day, i.due)) <= 30 THEN 10 ELSE 0 END AS score FROM (SELECT * FROM results WHERE NOT matched) r JOIN invoices i ON r.did = i.did) s WHERE score > 10) t WHERE k <= 5"
+    ),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import signals, similarity, text
 from ..operators import combinatorial as cb
 from ..operators import exact, fuzzy, profiler, scoring, temporal, tolerance
+from ..sources.durable import cut
 from ..sources.fixtures import oracle, run_sql, table, view
 from . import cascade, sequential
 from .oracles import ORACLES
@@ -67,7 +68,15 @@ def n_dates(p):
 
 @_views(P)
 def n_ngrams(p):
-    return p.where("seq % 20 = 0").select("seq", F.explode(text.char_ngrams(F.col("label"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    """One payment in twenty, as its SQL has it; n_ngrams_all takes every payment."""
+    return _ngrams(p.where("seq % 20 = 0"))
+
+
+n_ngrams_all = _views(P)(lambda p: _ngrams(p))
+
+
+def _ngrams(p: DataFrame) -> DataFrame:
+    return p.select("seq", F.explode(text.char_ngrams(F.col("label"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_views(P)
@@ -127,10 +136,17 @@ def l_features(p, i):
     return f.select("seq", "ord", *[F.round(c, 6).alias(c) for c in ("abs_diff", "ratio", "exact", "ht_exact", "log_x", "n_refs", "days_due", "over_due", "same_month", "day_of_month", "weekday")])
 
 
-@_views(P, I, D)
-def l_rank(p, i, d):
-    pair = p.join(i.select("did", "ord", "a", "due"), "did").where("seq % 10 = 9")
-    pair = pair.select("seq", "ord", "x", "a", F.lit(True).alias("same_debtor"), F.datediff("day", "due").alias("days_due"), F.lit(0.0).alias("ref"), F.lit(0.0).alias("p"))
+@_views(P, I)
+def l_rank(p, i):
+    """One payment in ten, as its SQL has it; l12_rank_all takes every payment."""
+    return _rank(p.where("seq % 10 = 9"), i)
+
+
+l_rank_all = _views(P, I)(lambda p, i: _rank(p, i))
+
+
+def _rank(p: DataFrame, i: DataFrame) -> DataFrame:
+    pair = p.join(i.select("did", "ord", "a", "due"), "did").select("seq", "ord", "x", "a", F.lit(True).alias("same_debtor"), F.datediff("day", "due").alias("days_due"), F.lit(0.0).alias("ref"), F.lit(0.0).alias("p"))
     return scoring.rank_candidates(pair).select("seq", "ord", "score", "rank")
 
 
@@ -146,8 +162,8 @@ def l_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _prepared(p).withColumn("p_did", F.col("did"))
     pair = s.join(i.withColumn("i_did", F.col("did")), "did").withColumns({"risk_pct": F.lit(50), "avg_delay": F.lit(0), "discount_pct": F.lit(0)})
     rows = scoring.pair_features(pair).withColumn("label", (F.col("seq") == F.col("ord")).cast("double"))
-    fit = rows.where(F.pmod(F.xxhash64("seq"), F.lit(20)) == 0).cache()  # models learn from one payment in twenty
-    model = scoring.train_ensemble(fit, trees=5, depth=4)
+    rows = cut(rows, "pairs")  # learning reads them many times
+    model = scoring.train_ensemble(rows)
     p = scoring.predict(model, rows)
     best = tolerance.first_per_payment(p.withColumn("neg", -F.col("p")), "neg", "ord")
     return best.groupBy((F.col("seq") == F.col("ord")).alias("is_right")).agg(F.count(F.lit(1)).alias("n"))
@@ -179,7 +195,7 @@ def x4_depletion(p, i):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cascade": cascade_counts,
-    "n_labels": n_labels, "n_scalars": n_scalars, "n_amounts": n_amounts, "n_dates": n_dates, "n_ngrams": n_ngrams, "e_signals": e_signals, "m2_entities": m_entities,
+    "n_labels": n_labels, "n_scalars": n_scalars, "n_amounts": n_amounts, "n_dates": n_dates, "n_ngrams": n_ngrams, "n_ngrams_all": n_ngrams_all, "e_signals": e_signals, "m2_entities": m_entities,
     "f_similarities": f_similarities, "f_composite": f_composite,
     "t_tolerance": _views(P, I, D)(tolerance.tolerance),
     "k_credit_note": _views(P, I, C)(lambda p, i, c: tolerance.credit_note(p.withColumn("x", F.when(F.col("seq") % 10 == 9, F.col("x") - 123457).otherwise(F.col("x"))), i, c)),
@@ -199,8 +215,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b2_hypotheses": _grouped(lambda g, i, d, c: cb.hypotheses(g, d, c).select("seq", "h", "rule", "target", "tol")),
     "b4_two_sum": _grouped(lambda g, i, d, c: cb.two_sum(cb.hypotheses(g, d).where("h <= 1"), cb.largest_invoices(i)).select("seq", "h", "i", "j", "s")),
     "b5_greedy": _grouped(lambda g, i, d, c: cb.greedy(cb.hypotheses(g, d).where("h <= 1"), cb.largest_invoices(i)).select("seq", "h", "n", "s")),
-    "b6_meet_in_the_middle": _grouped(lambda g, i, d, c: cb.meet_in_the_middle(cb.hypotheses(g.where("seq % 4 = 1"), d).where("h <= 1"), cb.largest_invoices(i)).select("seq", "h", "n", "s")),
-    "b3_subset_sum": _grouped(lambda g, i, d, c: cb.subset_sum(g.where("seq % 4 = 1"), i, d, c)),
+    "b6_meet_in_the_middle": _grouped(lambda g, i, d, c: cb.meet_in_the_middle(cb.hypotheses(g, d).where("h <= 1"), cb.largest_invoices(i)).select("seq", "h", "n", "s")),
+    "b3_subset_sum": _grouped(lambda g, i, d, c: cb.subset_sum(g, i, d, c)),
     "b7_period_groups": _grouped(lambda g, i, d, c: cb.period_groups(g, i)),
     "p1_delay_pattern": _views(P, I, D)(temporal.delay_pattern),
     "p2_label_period": _views(P, I)(lambda p, i: temporal.label_period_sum(_prepared(p.withColumn("label", F.concat(F.lit("FACTURES "), F.upper(F.date_format(F.date_sub("day", 30 + F.col("seq").cast("int") % 11), "MMMM yyyy"))))), i)),
@@ -211,7 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m4_tfidf_idf": _views(I)(lambda i: fuzzy.tfidf_fit(i)[0].select("g", F.round("idf", 9).alias("idf"))),
     "m5_tfidf_top": _views(P, I)(lambda p, i: fuzzy.tfidf_top(_prepared(p), i).select("seq", "ord", "cos", "k")),
     "m6_tfidf_match": _views(P, I)(lambda p, i: fuzzy.tfidf_match(_prepared(p), i)),
-    "l1_features": l_features, "l6_ensemble": l_ensemble, "l9_active_learning": l_active, "l10_psi": l_psi, "l12_rank": l_rank, "l13_combinations": l_combinations,
+    "l1_features": l_features, "l6_ensemble": l_ensemble, "l9_active_learning": l_active, "l10_psi": l_psi, "l12_rank": l_rank, "l12_rank_all": l_rank_all, "l13_combinations": l_combinations,
     "x4_depletion": x4_depletion, "r9_top_tokens": _views(P)(profiler.top_tokens), "r9_label_profile": _views(P)(profiler.label_profile),
     **{name: _report(sql) for name, sql in REPORTS.items()},
 }

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pytest
+
+from ledgerlink.operators import fuzzy
 from ledgerlink.plans import registry
 from ledgerlink.sources.fixtures import view
 
@@ -18,3 +24,55 @@ def test_every_group_gets_subsets(spark, sf_dir):
     two = {r.seq for r in registry.QUERIES["b4_two_sum"](spark, sf_dir).collect()}
     for name in ("b3_subset_sum", "b6_meet_in_the_middle"):
         assert two <= {r.seq for r in registry.QUERIES[name](spark, sf_dir).collect()} and {s % 4 for s in two} == {0, 1, 2, 3}
+
+
+def brute_top(payments, invoices, k=3, least=0.1):
+    """{seq: [(cos, ord)]} of the k nearest, all pairs."""
+
+    def tf(text):
+        return Counter(text[i : i + n] for n in (2, 3, 4) for i in range(len(text) - n + 1))
+
+    def unit(counts):
+        v = {g: c * idf[g] for g, c in counts.items() if g in idf}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {g: w / norm for g, w in v.items()}
+
+    money = lambda c: f"{c // 100}.{c % 100:02d}"
+    inv = {o: tf(f"{r} {d} {money(a)}".lower()) for o, d, a, r in invoices}
+    df = Counter(g for c in inv.values() for g in c)
+    idf = {g: math.log((1 + len(inv)) / (1 + n)) + 1 for g, n in df.items()}
+    inv = {o: unit(c) for o, c in inv.items()}
+    out = {}
+    for s, d, x, label in payments:
+        q = unit(tf(" ".join([label, *([str(d)] if d is not None else []), money(x)]).lower()))
+        cos = sorted((-round(sum(w * v.get(g, 0) for g, w in q.items()), 9), o) for o, v in inv.items())
+        out[s] = [(-c, o) for c, o in cos[:k] if -c > least]
+    return out
+
+
+def portfolio(kind):
+    """Fewer than twenty invoices, or a debtor and an amount that most invoices have."""
+    n = 12 if kind == "small" else 400
+    did = lambda o: o % 3 if kind == "small" else 777 if o % 5 else o
+    amount = lambda o: 10000 + 977 * o if kind == "small" or o % 5 == 0 else 123456
+    invoices = [(o, did(o), amount(o), f"FAC-1996-{o * 37:08d}") for o in range(1, n + 1)]
+    labels = [lambda o: f"PAIEMENT FACTURE 1996 {o * 37:08d}", lambda o: "VIREMENT", lambda o: f"REGLEMENT {o * 37}"]
+    payments = [(o, None if o % 9 == 0 else did(o), amount(o) - o % 4, labels[o % 3](o)) for o in range(1, n + 1, 1 if kind == "small" else 7)]
+    return payments, invoices
+
+
+@pytest.mark.parametrize("kind", ["small", "skewed"])
+def test_tfidf_is_exact(spark, kind):
+    payments, invoices = portfolio(kind)
+    p, i = spark.createDataFrame(payments, "seq long, did long, x long, label_n string"), spark.createDataFrame(invoices, "ord long, did long, a long, reference string")
+    want = brute_top(payments, invoices)
+    got = {}
+    for r in fuzzy.tfidf_top(p, i).orderBy("seq", "k").collect():
+        got.setdefault(r.seq, []).append((r.cos, r.ord))
+    assert {s: [c for c, _ in v] for s, v in got.items()} == {s: pytest.approx([c for c, _ in v], abs=2e-9) for s, v in want.items() if v}
+    assert sum(got[s] == [(pytest.approx(c, abs=2e-9), o) for c, o in v] for s, v in want.items() if v) >= 0.95 * len(got)  # sums differ in the last digit at ties
+    by_ord, best = {r[0]: r for r in invoices}, {}
+    for s, d, x, _ in payments:
+        hits = [o for c, o in want[s] if c >= 0.5 and d in (None, by_ord[o][1]) and 100 * abs(x - by_ord[o][2]) < 5 * max(by_ord[o][2], 100)]
+        best |= {s: hits[0]} if hits else {}
+    assert best and {r.seq: r.ord for r in fuzzy.tfidf_match(p, i).collect()} == best

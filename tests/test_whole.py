@@ -6,9 +6,11 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlink.operators import fuzzy
-from ledgerlink.plans import registry
+from ledgerlink.functions.signals import preprocess
+from ledgerlink.operators import fuzzy, scoring
+from ledgerlink.plans import cascade, registry
 from ledgerlink.sources.fixtures import view
 
 
@@ -76,3 +78,16 @@ def test_tfidf_is_exact(spark, kind):
         hits = [o for c, o in want[s] if c >= 0.5 and d in (None, by_ord[o][1]) and 100 * abs(x - by_ord[o][2]) < 5 * max(by_ord[o][2], 100)]
         best |= {s: hits[0]} if hits else {}
     assert best and {r.seq: r.ord for r in fuzzy.tfidf_match(p, i).collect()} == best
+
+
+def test_cascade_has_tfidf_and_a_model(spark, sf_dir):
+    p, i, d = (view(spark, sf_dir, n) for n in ("payments", "invoices", "debtors"))
+    one = i.orderBy("ord").limit(40)
+    paid = one.select(F.col("ord").alias("seq"), "did", F.col("due").alias("day"), F.col("a").alias("x"), F.lit("FR").alias("iban"), F.lit("").alias("label"), F.lower("reference").alias("own"))
+    said = preprocess(paid.drop("own")).join(paid.select("seq", "own"), "seq").withColumn("label_n", F.col("own"))  # no reference is extracted: only TF-IDF can match
+    assert {(r.seq, r.ord, r.rule) for r in cascade.fuzzy_layer(said, one).collect()} == {(r.ord, r.ord, "R-TFIDF") for r in one.collect()}
+    few = preprocess(p.where("seq % 3 = 0"))
+    rows = scoring.pair_features(scoring.candidate_pairs(few, i, d)).withColumn("label", (F.col("seq") == F.col("ord")).cast("double"))
+    model = scoring.train_ensemble(rows, trees=2, depth=3)
+    got = cascade.cascade(p.where("seq % 3 = 1"), i, d, view(spark, sf_dir, "credits"), subsets=False, similarity=False, model=model).groupBy("layer", "rule").count().collect()
+    assert {r["count"] for r in got if (r.layer, r.rule) == (4, "R-ML")} and sum(r["count"] for r in got) == p.where("seq % 3 = 1").count()

@@ -148,4 +148,4 @@ ORACLES: dict[str, str] = {
     "r9_label_profile": "SELECT did, round(avg(length(label)), 6) AS mean_length, round(avg(CASE WHEN length(trim(label)) < 3 THEN 1e0 ELSE 0e0 END), 6) AS empty_share, round(avg(CASE WHEN len(string_split_regex(trim(label), '\\s+')) <= 2 THEN 1e0 ELSE 0e0 END), 6) AS short_share FROM payments GROUP BY did",
 }
 #: The same for every payment.
-ORACLES |= {"n_ngrams_all": ORACLES["n_ngrams"].replace(" WHERE seq % 20 = 0", ""), "l12_rank_all": ORACLES["l12_rank"].replace(" WHERE seq % 10 = 9", "")}
+ORACLES |= {"n_ngrams_all": ORACLES["n_ngrams"].replace(" WHERE seq % 20 = 0", ""), "l12_rank_all": ORACLES["l12_rank"].replace(" WHERE seq % 10 = 9", ""), "f_similarities_all": ORACLES["f_similarities"].replace(" WHERE abs(ord - seq) < 2000", "")}

@@ -93,7 +93,14 @@ def m_entities(p):
 
 @_views(P, I)
 def f_similarities(p, i):
-    pair = p.join(i.select("did", "ord", "reference"), "did").where("abs(ord - seq) < 2000")
+    """Pairs with near ids, as its SQL has it; f_similarities_all takes every pair of a debtor."""
+    return _similarities(p.join(i.select("did", "ord", "reference"), "did").where("abs(ord - seq) < 2000"))
+
+
+f_similarities_all = _views(P, I)(lambda p, i: _similarities(p.join(i.select("did", "ord", "reference"), "did")))
+
+
+def _similarities(pair: DataFrame) -> DataFrame:
     a, b = text.deaccent(F.upper("label")), F.col("reference")
     r = lambda c: F.round(c, 6)
     return pair.select("seq", "ord", r(similarity.levenshtein_ratio(a, b)).alias("lev"), r(similarity.token_sort_ratio(a, b)).alias("tsort"), r(similarity.token_set_ratio(a, b)).alias("tset"), r(similarity.ngram_jaccard(a, b)).alias("grams"), r(similarity.jaro_winkler(a, b)).alias("jw"))
@@ -101,9 +108,9 @@ def f_similarities(p, i):
 
 @_views(P, I)
 def f_composite(p, i):
-    pair = p.join(i.select("did", "ord", "reference"), "did").where("ord = seq")
+    pair = p.join(i.select("did", "ord", "reference"), "did")
     a, b = text.normalize_ref(F.col("label")), text.normalize_ref(F.col("reference"))
-    return pair.select("seq", F.round(similarity.composite(a, b), 6).alias("score"), F.round(similarity.lcs_ratio(a, b), 6).alias("lcs"), F.round(similarity.partial_ratio(a, b), 6).alias("part"), F.round(similarity.numeric_ref_similarity(a, b), 6).alias("num"))
+    return pair.select("seq", "ord", F.round(similarity.composite(a, b), 6).alias("score"), F.round(similarity.lcs_ratio(a, b), 6).alias("lcs"), F.round(similarity.partial_ratio(a, b), 6).alias("part"), F.round(similarity.numeric_ref_similarity(a, b), 6).alias("num"))
 
 
 def _with_refs(payments: DataFrame) -> DataFrame:
@@ -127,13 +134,10 @@ def _balance_payments(i: DataFrame, c: DataFrame) -> DataFrame:
     return b.select(F.col("did").alias("seq"), "did", (F.col("s") - F.when(F.col("did") % 2 == 0, F.col("c")).otherwise(0)).alias("x"))
 
 
-@_views(P, I)
-def l_features(p, i):
-    s = _prepared(p).withColumn("p_did", F.col("did"))
-    pair = s.join(i.withColumn("i_did", F.col("did")), "did").where("abs(x - a) * 20 < a")
-    pair = pair.withColumns({"risk_pct": F.lit(50), "avg_delay": F.lit(0), "discount_pct": F.lit(0)})
-    f = scoring.pair_features(pair)
-    return f.select("seq", "ord", *[F.round(c, 6).alias(c) for c in ("abs_diff", "ratio", "exact", "ht_exact", "log_x", "n_refs", "days_due", "over_due", "same_month", "day_of_month", "weekday")])
+@_views(P, I, D)
+def l_features(p, i, d):
+    f = scoring.pair_features(scoring.candidate_pairs(_prepared(p), i, d))
+    return f.select("seq", "ord", *[F.round(c, 6).alias(c) for c in ("abs_diff", "ratio", "exact", "ht_exact", "log_x", "n_refs", "days_due", "over_due", "same_month", "day_of_month", "weekday", "risk", "avg_delay", "has_discount")])
 
 
 @_views(P, I)
@@ -158,10 +162,8 @@ def l_combinations(g, i):
 
 
 def l_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, i = view(spark, sf_dir, P), view(spark, sf_dir, I)
-    s = _prepared(p).withColumn("p_did", F.col("did"))
-    pair = s.join(i.withColumn("i_did", F.col("did")), "did").withColumns({"risk_pct": F.lit(50), "avg_delay": F.lit(0), "discount_pct": F.lit(0)})
-    rows = scoring.pair_features(pair).withColumn("label", (F.col("seq") == F.col("ord")).cast("double"))
+    p, i, d = (view(spark, sf_dir, n) for n in (P, I, D))
+    rows = scoring.pair_features(scoring.candidate_pairs(_prepared(p), i, d)).withColumn("label", (F.col("seq") == F.col("ord")).cast("double"))
     rows = cut(rows, "pairs")  # learning reads them many times
     model = scoring.train_ensemble(rows)
     p = scoring.predict(model, rows)
@@ -196,7 +198,7 @@ def x4_depletion(p, i):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cascade": cascade_counts,
     "n_labels": n_labels, "n_scalars": n_scalars, "n_amounts": n_amounts, "n_dates": n_dates, "n_ngrams": n_ngrams, "n_ngrams_all": n_ngrams_all, "e_signals": e_signals, "m2_entities": m_entities,
-    "f_similarities": f_similarities, "f_composite": f_composite,
+    "f_similarities": f_similarities, "f_similarities_all": f_similarities_all, "f_composite": f_composite,
     "t_tolerance": _views(P, I, D)(tolerance.tolerance),
     "k_credit_note": _views(P, I, C)(lambda p, i, c: tolerance.credit_note(p.withColumn("x", F.when(F.col("seq") % 10 == 9, F.col("x") - 123457).otherwise(F.col("x"))), i, c)),
     "k3_multi_credit": _views("grouped", I, C)(lambda g, i, c: tolerance.multi_credit(g.join(c.groupBy("did").agg(F.min_by("c", "cid").alias("c")), "did").select("seq", "did", (F.col("x") - F.col("c")).alias("x")), i, c)),

@@ -91,3 +91,12 @@ def test_cascade_has_tfidf_and_a_model(spark, sf_dir):
     model = scoring.train_ensemble(rows, trees=2, depth=3)
     got = cascade.cascade(p.where("seq % 3 = 1"), i, d, view(spark, sf_dir, "credits"), subsets=False, similarity=False, model=model).groupBy("layer", "rule").count().collect()
     assert {r["count"] for r in got if (r.layer, r.rule) == (4, "R-ML")} and sum(r["count"] for r in got) == p.where("seq % 3 = 1").count()
+
+
+def test_every_pair_of_a_debtor_is_scored(spark, sf_dir):
+    p, i, d = (view(spark, sf_dir, n) for n in ("payments", "invoices", "debtors"))
+    pairs = p.select("seq", "did").join(i.select("did", "ord"), "did").count()
+    for name in ("f_similarities_all", "f_composite", "l1_features"):
+        assert registry.QUERIES[name](spark, sf_dir).select("seq", "ord").distinct().count() == pairs, name
+    got = registry.QUERIES["l1_features"](spark, sf_dir).join(p.select("seq", "did"), "seq").join(d.select("did", "risk_pct", F.col("avg_delay").alias("delay"), "discount_pct"), "did")
+    assert got.where("abs(risk - risk_pct / 100) > 1e-9 or avg_delay <> delay or has_discount <> int(discount_pct > 0)").count() == 0

@@ -2,15 +2,16 @@
 
 Two views of a document: its text content (which words and which punctuation runs it has, hashed) and its page metadata
 (language, source, size and layout: lines, repeated lines, capitals, symbols, digits, repeated neighbours). A logistic
-model per view learns from labelled rows. For some rounds each model labels the unlabelled pool, and what it is sure
-of (calibrated probability above `sure` or below 1 - sure) joins the other view's training rows. At the end both views
+model per view learns from labelled rows. For some rounds each model labels the whole unlabelled pool, and what it is
+sure of (calibrated probability above `sure` or below 1 - sure) counts as the other view's training rows of half weight. At the end both views
 are calibrated on labelled rows set aside (Platt) and combined by a logistic model of their log-odds. The combination
 scores every document. Quality and toxicity are two targets of the same procedure; a document is kept if it is
 probably good and probably not toxic.
 
-Models are fitted on the driver from bounded samples: `max_labelled` labelled and `max_pool` unlabelled documents, those
-with the least hash of their id, and as sparse features, not texts. Scoring is one pass over all rows with weights of
-fixed size.
+Only labelled rows are sampled: the `max_labelled` with the least hash of their id are fitted on the driver, as sparse
+features. Each round is one pass over all of the pool, which gives the gradient and a bound on the curvature of the
+confident rows' loss at the models' present weights, summed by feature; the next fit adds them to the labelled loss,
+scaled to the weight of both (a distributed approximate Newton step). Means and spreads of page features are of all rows.
 
 Defined cases: null and empty texts have no content features and a layout of zeros. Null language or source is a value
 of its own. Labels whose document is missing, and null labels, are left out; of several labels of one document the
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, RangeHash, U64, arrow_bytes, documents, lower_ascii, mix, slices, word_ranges
+from .common import _SPACE, RangeHash, U64, arrow_bytes, cut, documents, drop_cut, lower_ascii, mix, slices, word_ranges
 from .line_dedup import _solid_lines, line_ranges
 
 BITS = 17
@@ -137,14 +138,21 @@ class Logistic:
     def __init__(self, size: int, l2: float, least: int = 4):
         self.w, self.b, self.l2, self.least = np.zeros(size), 0.0, l2, least
 
-    def fit(self, x: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 80) -> None:
+    def fit(self, x: Rows, y: np.ndarray, weight: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 80) -> None:
+        """pool: gradient and curvature bound of further rows at the present weights, the offset last."""
         on = weight > 0
-        use = np.ones(len(self.w), bool) if x.dense is not None else x.back(on.astype(float), len(self.w)) >= self.least
         total = weight.sum()
+        pg, ph = pool if pool is not None else (np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1))
+        use = np.ones(len(self.w), bool) if x.dense is not None else x.back(on.astype(float), len(self.w)) + 2 * ph[:-1] >= self.least
+        w0, b0, scale = self.w.copy(), self.b, (total + ph[-1]) / total
+        at = weight * (sigmoid(x.dot(w0) + b0) - y)
+        cw, cb = pg[:-1] - (scale - 1) * x.back(at, len(w0)), pg[-1] - (scale - 1) * at.sum()
+        whole = total + ph[-1]
         m, v, mb, vb = np.zeros_like(self.w), np.zeros_like(self.w), 0.0, 0.0
         for t in range(1, steps + 1):
-            g = weight * (sigmoid(x.dot(self.w) + self.b) - y) / total
-            gw, gb = (x.back(g, len(self.w)) + self.l2 * self.w / total) * use, g.sum()
+            g = scale * weight * (sigmoid(x.dot(self.w) + self.b) - y)
+            gw = (x.back(g, len(self.w)) + cw + ph[:-1] * (self.w - w0) + self.l2 * self.w) / whole * use
+            gb = (g.sum() + cb + ph[-1] * (self.b - b0)) / whole
             m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             rate = 0.1 * min(1.0, 2 * (1 - t / (steps + 1)))
             self.w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * use
@@ -167,35 +175,36 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def cotrain(content: Rows, page: Rows, y: np.ndarray, fold: np.ndarray, sizes: tuple[int, int], rounds: int, sure: float) -> dict | None:
-    """One target. y: 1, 0, or -1 for the pool; fold: labelled rows set aside for calibration. None where y lacks a kind."""
-    train, aside = (y >= 0) & ~fold, (y >= 0) & fold
-    if not all(len(set(y[m])) == 2 for m in (train, aside)):
-        return None
-    views = (content, page)
-    models = (Logistic(sizes[0], 2.0), Logistic(sizes[1], 0.5))
-    label = [y.astype(float).clip(0), y.astype(float).clip(0)]
-    weight = [train.astype(float), train.astype(float)]
-    scales = [None, None]
-    for r in range(rounds + 1):
-        for v in range(2):
-            models[v].fit(views[v], label[v], weight[v])
-            z = models[v].raw(views[v])
-            scales[v] = platt(z[aside], y[aside].astype(float))
-        if r == rounds:
-            break
+class CoTraining:
+    """One target. y: 1 or 0 of the labelled rows; fold: those set aside for calibration."""
+
+    def __init__(self, content: Rows, page: Rows, y: np.ndarray, fold: np.ndarray, sizes: tuple[int, int]):
+        self.views, self.y, self.fold = (content, page), y.astype(float), fold & (y >= 0)
+        self.weight = ((y >= 0) & ~fold).astype(float)
+        self.able = all(len(set(y[m])) == 2 for m in (self.weight > 0, self.fold))
+        self.models, self.scales = (Logistic(sizes[0], 2.0), Logistic(sizes[1], 0.5)), [None, None]
+
+    def fit(self, pool: tuple | None = None) -> None:
         for v in range(2):
-            (a,), b = scales[v]
-            p = sigmoid(a * models[v].raw(views[v]) + b)
-            pick = (y < 0) & ((p > sure) | (p < 1 - sure))
-            other = 1 - v
-            label[other] = np.where(pick, p > 0.5, label[other])
-            weight[other] = np.where(pick, 0.5, weight[other])
-    odds = np.stack([scales[v][0][0] * models[v].raw(views[v]) + scales[v][1] for v in range(2)], axis=1)
-    w, b = platt(odds[aside], y[aside].astype(float))
-    wc, wp = w[0] * scales[0][0][0], w[1] * scales[1][0][0]
-    offset = b + wc * models[0].b + w[0] * scales[0][1] + wp * models[1].b + w[1] * scales[1][1]
-    return {"content": models[0].w * wc, "page": models[1].w * wp, "offset": offset, "odds": odds, "weights": w}
+            self.models[v].fit(self.views[v], self.y, self.weight, pool and pool[v])
+            self.scales[v] = platt(self.models[v].raw(self.views[v])[self.fold], self.y[self.fold])
+
+    def present(self) -> list[tuple]:
+        """Per view: weights, offset, and slope and offset of the calibration."""
+        return [(m.w, m.b, float(s[0][0]), s[1]) for m, s in zip(self.models, self.scales)]
+
+    def combined(self) -> dict:
+        odds = np.stack([s[0][0] * m.raw(x) + s[1] for m, s, x in zip(self.models, self.scales, self.views)], axis=1)
+        w, b = platt(odds[self.fold], self.y[self.fold])
+        wc, wp = w[0] * self.scales[0][0][0], w[1] * self.scales[1][0][0]
+        offset = b + wc * self.models[0].b + w[0] * self.scales[0][1] + wp * self.models[1].b + w[1] * self.scales[1][1]
+        return {"content": self.models[0].w * wc, "page": self.models[1].w * wp, "offset": offset, "weights": w}
+
+
+def confident(z: list[np.ndarray], present: list[tuple], sure: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per view: rows that the other view is sure of, and their labels."""
+    p = [sigmoid(a * r + b) for r, (_, _, a, b) in zip(z, present)]
+    return [((q > sure) | (q < 1 - sure), (q > 0.5).astype(float)) for q in p[::-1]]
 
 
 # --- over tables -----------------------------------------------------------------------------------------------------
@@ -239,33 +248,92 @@ def _score(model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 4000, rounds: int = 3, sure: float = 0.95) -> dict:
-    """Weights of both targets. Collects the features of at most max_labelled + max_pool documents."""
+#: Fixed point of summed gradients: sums do not depend on the order of tasks.
+_ONE = 1 << 24
+
+
+def _moments(batches: Iterator) -> Iterator:
+    """Sums and sums of squares of page features: one row a feature and task."""
+    import pyarrow as pa
+
+    n, total = 0, 0.0
+    for batch in batches:
+        if batch.num_rows:
+            page = np.stack([np.frombuffer(x, np.float32) for x in batch.column(0).to_pylist()]).astype(float)
+            n, total = n + len(page), total + np.stack([page, page * page]).sum(axis=1)
+    if n:
+        k = total.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.full(k, n)), pa.array(total[0]), pa.array(total[1])], names=["k", "n", "s", "q"])
+
+
+def _exchange(sent, sure: float):
+    """Gradient and curvature bound of the confident rows of the pool, by target and feature, of one task."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m = sent.value
+        width = (1 << BITS) + len(m["mean"]) + 2
+        sums = {t: np.zeros((2, width)) for t in m["targets"]}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [np.frombuffer(c, np.int32) for c in batch.column(0).to_pylist()]
+            content = Rows(starts=np.append(0, np.cumsum([len(c) for c in codes])), codes=np.concatenate(codes).astype(np.int64))
+            page = (np.stack([np.frombuffer(x, np.float32) for x in batch.column(1).to_pylist()]).astype(float) - m["mean"]) / m["spread"]
+            squares = Rows(dense=page * page)
+            views = (content, Rows(dense=page))
+            for t, present in m["targets"].items():
+                z = [x.dot(w) + b for x, (w, b, _, _) in zip(views, present)]
+                for v, (pick, label) in enumerate(confident(z, present, sure)):
+                    half = 0.5 * pick
+                    g = half * (sigmoid(z[v]) - label)
+                    at = slice(0, 1 << BITS) if v == 0 else slice(1 << BITS, width - 2)
+                    sums[t][0, at] += views[v].back(g, 1 << BITS)
+                    sums[t][1, at] += (content if v == 0 else squares).back(half, 1 << BITS)
+                    sums[t][:, width - 2 + v] += (g.sum(), half.sum())
+        for t, (g, h) in sums.items():
+            k = np.flatnonzero(h)
+            fixed = [pa.array(np.round(x[k] * _ONE).astype(np.int64)) for x in (g, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([t] * len(k), pa.string()), pa.array(k), *fixed], names=["target", "k", "g", "h"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds: int = 3, sure: float = 0.95) -> dict:
+    """Weights of both targets. Collects the features of at most max_labelled documents; the pool is read whole each round."""
     least = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    known = ids.join(least, "doc_id").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(max_labelled)
-    pool = ids.join(least, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(max_pool)
-    picked = known.unionByName(pool.selectExpr("doc_id", "cast(null as int) as quality", "cast(null as int) as toxic"))
-    plain = _plain(docs)
-    found = plain.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # at most max_labelled + max_pool ids
-    rows = found.select("doc_id", "text", "lang", "source").mapInArrow(_features, "doc_id long, content binary, page binary")
-    got = rows.join(F.broadcast(picked), "doc_id").orderBy("doc_id").toPandas().drop_duplicates("doc_id")
-    model: dict = {"quality": None, "toxic": None, "mean": 0.0, "spread": 1.0}
+    model: dict = {"quality": None, "toxic": None, "mean": 0.0, "spread": 1.0, "pool": []}
+    rows = cut(_plain(docs).mapInArrow(_features, "doc_id long, content binary, page binary"), "features")
+    known = rows.select("doc_id").join(least, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    got = rows.join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas().drop_duplicates("doc_id")  # at most max_labelled ids
     if not len(got):
+        drop_cut(rows)
         return model
+    moments = rows.select("page").mapInArrow(_moments, "k long, n long, s double, q double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").toPandas()
+    mean = (moments["s"] / moments["n"]).to_numpy()
+    model["mean"], model["spread"] = mean, np.sqrt(np.maximum((moments["q"] / moments["n"]).to_numpy() - mean * mean, 0)) + 0.05
     codes = [np.frombuffer(c, np.int32) for c in got["content"]]
     content = Rows(starts=np.append(0, np.cumsum([len(c) for c in codes])), codes=np.concatenate(codes).astype(np.int64))
-    page = np.stack([np.frombuffer(p, np.float32) for p in got["page"]]).astype(float)
-    model["mean"], model["spread"] = page.mean(axis=0), page.std(axis=0) + 0.05
-    dense = Rows(dense=(page - model["mean"]) / model["spread"])
+    dense = Rows(dense=(np.stack([np.frombuffer(p, np.float32) for p in got["page"]]).astype(float) - mean) / model["spread"])
     fold = (mix(got["doc_id"].to_numpy(np.int64).view(U64) + U64(99)) % U64(4)) == 0
-    for target in ("quality", "toxic"):
-        y = got[target].fillna(-1).to_numpy(int)
-        model[target] = cotrain(content, dense, y, fold, (1 << BITS, page.shape[1]), rounds, sure)
-        if model[target]:
-            model[target] = {k: model[target][k] for k in ("content", "page", "offset", "weights")}
-    return model
+    size = (1 << BITS, len(mean))
+    learnt = {t: CoTraining(content, dense, got[t].fillna(-1).to_numpy(int), fold, size) for t in ("quality", "toxic")}
+    learnt = {t: c for t, c in learnt.items() if c.able}
+    for c in learnt.values():
+        c.fit()
+    pool = rows.join(F.broadcast(least.select("doc_id")), "doc_id", "left_anti").select("content", "page")
+    for _ in range(rounds if learnt else 0):
+        sent = docs.sparkSession.sparkContext.broadcast({"mean": mean, "spread": model["spread"], "targets": {t: c.present() for t, c in learnt.items()}})
+        sums = pool.mapInArrow(_exchange(sent, sure), "target string, k long, g long, h long").groupBy("target", "k").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+        for t, c in learnt.items():
+            part = np.zeros((2, sum(size) + 2))
+            mine = sums[sums["target"] == t]
+            part[:, mine["k"].to_numpy(int)] = mine[["g", "h"]].to_numpy(float).T / _ONE
+            c.fit(tuple((np.append(part[0, a:b], part[0, sum(size) + v]), np.append(part[1, a:b], part[1, sum(size) + v])) for v, (a, b) in enumerate(((0, size[0]), (size[0], sum(size))))))
+            model["pool"].append((t, *(2 * part[1, sum(size) :])))
+    drop_cut(rows)
+    return model | {t: c.combined() for t, c in learnt.items()}
 
 
 def _plain(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, U64, arrow_bytes, cut, documents, lower_ascii, mix, slices, word_ranges
 
-#: Weight 6, spans 8 to 10: of any 12 aligned words with one substitution at least one seed is untouched.
+#: Items of six to eight words have runs of half of them besides. Weight 6, spans 8 to 10: of any 12 aligned words with one substitution at least one seed is untouched.
 MASKS = ("11101011", "1101001011", "110011011", "111111")
 BLOCK_BYTES = 4 << 20
 MIN_MATCHES, PENALTY = 10, 2
@@ -63,11 +63,15 @@ class Index:
         size = np.diff(self.edge)
         short = sorted({int(s) for s in size if 0 < s < min(map(len, masks))})
         self.masks = (*masks, *["1" * s for s in short])
+        # of six to eight words, one substitution leaves a run of half of them
+        halves = {"1" * (s // 2): [n for n in (6, 7, 8) if n // 2 == s // 2] for s in sorted({int(s) for s in size if 6 <= s <= 8})}
         self.tables = []
-        for m, mask in enumerate(self.masks):
+        for m, mask in enumerate((*self.masks, *halves)):
             h = _seeds(self.words, mask)
             ok = row[: len(h)] == row[len(mask) - 1 :] if len(h) else np.zeros(0, bool)
-            if m >= len(masks):
+            if m >= len(self.masks):
+                ok &= np.isin(size[row[: len(h)]], halves[mask])
+            elif m >= len(masks):
                 ok &= size[row[: len(h)]] == len(mask)
             at = np.flatnonzero(ok)
             at = at[np.argsort(h[at], kind="stable")]

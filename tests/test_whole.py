@@ -114,3 +114,17 @@ def test_cotraining_reads_the_whole_pool(spark):
     assert once["pool"] and (often["mean"] != once["mean"]).any()
     total = lambda m: sum(n for t, *both in m["pool"] for n in both)
     assert total(often) > 5 * total(once)  # every copy of a confident document counts
+
+
+@pytest.mark.parametrize("n", [6, 7, 8, 9])
+def test_short_items_have_a_seed_for_each_substitution(n):
+    import numpy as np
+
+    from ledgerlink.llm.decontaminate import MASKS, Index, _words
+
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india".split()[:n]
+    index = Index([1], [" ".join(item)], MASKS)
+    for k in range(n):
+        text = " ".join(["x", *item[:k], "zulu", *item[k + 1 :], "y"]).encode()
+        words, row = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert (index.hits(words, row)[2] == 1).any(), (n, k)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, RangeHash, U64, arrow_bytes, cut, documents, drop_cut, lower_ascii, mix, slices, word_ranges
+from .common import _SPACE, U64, arrow_bytes, cut, documents, drop_cut, lower_ascii, mix, range_hashes, slices, word_ranges
 from .line_dedup import _solid_lines, line_ranges
 
 BITS = 17
@@ -54,7 +54,7 @@ def content_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     solid = kind[start] > 0
     start, end = start[solid], end[solid]
     row = np.searchsorted(offsets, start, side="right") - 1
-    code = (RangeHash(low)(start, end) >> U64(64 - BITS)).astype(np.int64)
+    code = (range_hashes(low, start, end) >> U64(64 - BITS)).astype(np.int64)
     both = np.unique(row << BITS | code)
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -67,13 +67,12 @@ def layout(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     size = np.diff(offsets).astype(float)
     start, end, word_row = word_ranges(buf, offsets)
     words = np.bincount(word_row, minlength=n).astype(float)
-    h = RangeHash(buf)
-    wh = h(start, end)
+    wh = range_hashes(buf, start, end)
     same = np.append(False, (wh[1:] == wh[:-1]) & (word_row[1:] == word_row[:-1])) if len(wh) else np.zeros(0, bool)
     near = np.bincount(word_row[same], minlength=n).astype(float)
     line_row, _, a, b = _solid_lines(buf, offsets)
     lines = np.bincount(line_row, minlength=n).astype(float)
-    distinct = np.unique(np.stack([line_row.astype(U64), h(a, b)]), axis=1) if len(a) else np.zeros((2, 0), U64)
+    distinct = np.unique(np.stack([line_row.astype(U64), range_hashes(buf, a, b)]), axis=1) if len(a) else np.zeros((2, 0), U64)
     repeated = lines - np.bincount(distinct[0].astype(np.int64), minlength=n)
     runs = np.bincount(line_ranges(buf, offsets)[0], minlength=n).astype(float)
     symbols = _PUNCT.copy()
@@ -92,7 +91,7 @@ def layout(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _name_codes(column, salt: int) -> np.ndarray:
     buf, off = arrow_bytes(column)
-    h = RangeHash(buf)(off[:-1], off[1:]) if len(off) > 1 else np.zeros(0, U64)
+    h = range_hashes(buf, off[:-1], off[1:])
     none = np.asarray(column.is_null())
     return np.where(none, NAMES - 1, (mix(h + U64(salt)) % U64(NAMES - 1)).astype(np.int64))
 

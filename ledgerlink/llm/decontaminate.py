@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, U64, arrow_bytes, cut, documents, lower_ascii, mix, slices, word_ranges
+from .common import U64, arrow_bytes, cut, documents, lower_ascii, mix, range_hashes, slices, word_ranges
 
 #: Items of six to eight words have runs of half of them besides. Weight 6, spans 8 to 10: of any 12 aligned words with one substitution at least one seed is untouched.
 MASKS = ("11101011", "1101001011", "110011011", "111111")
@@ -39,7 +39,7 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = lower_ascii(buf[keep])
     off = np.append(0, np.cumsum(keep))[offsets]
     start, end, row = word_ranges(low, off)
-    return RangeHash(low)(start, end), row
+    return range_hashes(low, start, end), row
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:

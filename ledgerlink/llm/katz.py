@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, U64, arrow_bytes, buckets, documents, lower_ascii, mix, slices, word_ranges
+from .common import U64, arrow_bytes, buckets, documents, lower_ascii, mix, range_hashes, slices, word_ranges
 from .packed import planes, unplanes, with_row_ids
 
 END, START = U64(0x51ED270B35AE6D11), U64(0x8C3C5A4E6BD1F00D)
@@ -54,7 +54,7 @@ def _tokens(buf: np.ndarray, off: np.ndarray):
     for i, j in slices(np.diff(off)):
         low = lower_ascii(buf[off[i] : off[j]])
         a, b, row = word_ranges(low, off[i : j + 1] - off[i])
-        words.append(RangeHash(low)(a, b))
+        words.append(range_hashes(low, a, b))
         rows.append(row + i)
     word, row = np.concatenate(words), np.concatenate(rows)
     n = len(off) - 1

@@ -4,7 +4,8 @@ Lines are the \\n-split parts of a text; blank ones are passed over and the othe
 white space. Every three lines in a row are a window. Over the whole corpus a window's first occurrence, by doc_id and
 then place, stays; the lines covered by its later occurrences are removed (overlapping windows merge).
 
-Windows are hashed to 128 bits where they are read. Within a batch later occurrences are settled at once and only the
+Windows are hashed where they are read, to 128 bits of two independent hashes of every line (among 10**12 distinct
+windows any two agree with a probability below 10**-14). Within a batch later occurrences are settled at once and only the
 first goes on, so a window that everybody has sends one entry per batch. Entries are dealt by hash, marks by row.
 
 Defined cases: null text is empty; a text of fewer than three lines loses nothing; a text whose lines all go is left
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, RangeHash, U64, arrow_bytes, buckets, cut, documents, mix, slices
+from .common import _SPACE, U64, arrow_bytes, buckets, chunk_view, cut, documents, mix, range_hashes, slices
 from .packed import Packing, beside_text, marked_batches, of_rows
 
 WINDOW = 3
@@ -57,13 +58,14 @@ def _windows(buf: np.ndarray, offsets: np.ndarray, width: int):
     if len(row) < width:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(U64), z.astype(U64)
-    line = RangeHash(buf)(start, end)
-    n = len(line) - width + 1
+    view = chunk_view(buf)
+    one, two = (range_hashes(buf, start, end, seed, view) for seed in (0, 1))
+    n = len(one) - width + 1
     ok = row[:n] == row[width - 1 :]
     h1, h2 = np.zeros(n, U64), np.ones(n, U64)
     for i in range(width):
-        h1 = mix(h1 * U64(0x9E3779B97F4A7C15) + line[i : n + i])
-        h2 = mix((h2 ^ line[i : n + i]) * U64(0xC2B2AE3D27D4EB4F) + U64(i))
+        h1 = mix(h1 * U64(0x9E3779B97F4A7C15) + one[i : n + i])
+        h2 = mix((h2 ^ two[i : n + i]) * U64(0xC2B2AE3D27D4EB4F) + U64(i))
     place = np.arange(n) - np.searchsorted(row, row[:n])
     return row[:n][ok], place[ok], h1[ok], h2[ok]
 

@@ -3,16 +3,21 @@
 Each text's set of k-word shingles is hashed once; the hash's top bits choose a bin, the least hash of a bin is its
 signature value, and an empty bin takes the value of the first non-empty bin in its own pseudo-random order. Equal sets
 form a class at once (pre-aggregated, so thousands of copies are one row afterwards). Classes that share a band of
-signature values share a bucket. A bucket's candidates are stars: its first member against all others; then, only where
-the others lie in several components, 4, 16, 64 ... further members, those of small components first. The rounds end
-with every pair of a bucket either inside one component or compared, without listing the pairs of a group of near
-copies. A candidate whose signatures agree far less than the threshold asks for is dropped; all others
-are confirmed on their full sets.
+signature values share a bucket.
+
+A bucket's candidates are a star: one member, drawn by a hash, against all others, so a bucket of m members has m - 1
+pairs whatever they hold. Every bucket draws a centre of its own, and buckets whose members still lie in several
+components draw again, `rounds` times in all; members of the centre's component are not compared again. So no more than
+`rounds` * 32 pairs a class are looked at, at every size. A family of near copies shares up to 32 buckets and meets up
+to 32 centres a round: a link is missed only if it joins two classes that are linked to none of the centres they
+meet, nor through others (the README states the measured recall). A pair is set aside without its sets only where that
+is certain: sets whose bins differ in more places than their symmetric difference may have elements. All others are
+confirmed on their full sets.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are kept. A text with fewer
-than k words is one shingle. Rows with one doc_id but different texts are judged as separate rows of that id (their
-ids coincide, so they share a component). Ties of equal ids resolve to that id. Extra columns are ignored. An empty
-table gives an empty result. A null doc_id takes part as a class member but is never its smallest id unless alone.
+than k words is one shingle. Rows are judged by their text: equal ids with different texts lie where their texts
+belong. The component's id is its smallest doc_id that is not null (null where it has none; such rows are all kept). Of
+repeated rows each has its row in the result. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +25,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, U64, arrow_bytes, cut, documents, lower_ascii, mix, slices, word_ranges
+from .common import U64, arrow_bytes, cut, documents, lower_ascii, mix, range_hashes, slices, word_ranges
 from .components import connected
 
 BINS, ROWS = 128, 4
+#: Stars that a bucket may have.
+ROUNDS = 4
 _MIXERS = mix(np.arange(11, 43, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -34,7 +41,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
     """Sorted distinct 64-bit shingle hashes of each row."""
     low = lower_ascii(buf)
     start, end, row = word_ranges(low, offsets)
-    words = RangeHash(low)(start, end)
+    words = range_hashes(low, start, end)
     n = len(words)
     rows = len(offsets) - 1
     edge = np.searchsorted(row, np.arange(rows + 1))
@@ -92,30 +99,45 @@ def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return full
 
 
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    once = np.array([np.bitwise_xor.reduce(mix(s * _MIXERS[7])) if len(s) else 0 for s in sets], U64)
+    twice = np.array([np.add.reduce(mix(s * _MIXERS[8])) if len(s) else 0 for s in sets], U64)
+    return once.view(np.int64), twice.view(np.int64)
+
+
+def cell_prints(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
+    """Sixteen bits of what each bin holds. A bin that differs holds an element that only one of two sets has."""
+    out = np.zeros((len(sets), bins), U64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+    if len(flat):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        cell = row * bins + (flat >> U64(64 - (bins.bit_length() - 1))).astype(np.int64)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        out.ravel()[cell[first]] = np.bitwise_xor.reduceat(mix(flat + _MIXERS[5]), first)
+    return (out & U64(0xFFFF)).astype(np.uint16).view(np.int16)
+
+
 def _signature_rows(k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        as_list = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel(), t))
         for batch in batches:
-            buf, off = arrow_bytes(batch.column(1))
+            buf, off = arrow_bytes(batch.column(3))
             for i, j in slices(np.diff(off)):
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                sig = signatures(sets)
-                bands = sig.reshape(len(sets), BINS // ROWS, ROWS)
+                bands = signatures(sets).reshape(len(sets), BINS // ROWS, ROWS)
                 key = np.zeros(bands.shape[:2], U64)
                 for c in range(ROWS):
                     key = mix(key * _MIXERS[c] + bands[:, :, c])
                 key = mix(key + np.arange(BINS // ROWS, dtype=U64) * _MIXERS[9])
-                once = np.array([np.bitwise_xor.reduce(mix(s * _MIXERS[7])) if len(s) else 0 for s in sets], U64)
-                twice = np.array([np.add.reduce(mix(s * _MIXERS[8])) if len(s) else 0 for s in sets], U64)
-                short = (mix(sig) & U64(0x7FFF)).astype(np.int16)
-                as_list = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel(), t))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(once.view(np.int64)), pa.array(twice.view(np.int64)), as_list(key.view(np.int64), pa.int64()), as_list(short, pa.int16())],
-                    names=["doc_id", "n", "s1", "s2", "bands", "sig"],
+                    [*[batch.column(c).slice(i, j - i) for c in range(3)], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, set_keys(sets)), as_list(key.view(np.int64), pa.int64()), as_list(cell_prints(sets), pa.int16())],
+                    names=["rid", "twin", "doc_id", "n", "s1", "s2", "bands", "cells"],
                 )
 
-    return run, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig array<short>"
+    return run, "rid long, twin long, doc_id long, n long, s1 long, s2 long, bands array<long>, cells array<short>"
 
 
 def _set_rows(k: int):
@@ -123,12 +145,12 @@ def _set_rows(k: int):
         import pyarrow as pa
 
         for batch in batches:
-            buf, off = arrow_bytes(batch.column(1))
+            buf, off = arrow_bytes(batch.column(0))
             for i, j in slices(np.diff(off)):
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, set_keys(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "s1", "s2", "shingles"])
 
-    return run, "rep long, shingles binary"
+    return run, "n long, s1 long, s2 long, shingles binary"
 
 
 def _confirm(percent: int):
@@ -157,58 +179,73 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(joined.join(comp.select("id"), "id", "left_anti"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; links need 100 * intersection >= percent * union."""
+_CLASS = ["s1", "s2", "n"]
+
+
+def row_ids(docs: DataFrame) -> DataFrame:
+    """rid, twin (128 bits of id and text), doc_id, text (null is empty)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text", "doc_id").alias("twin"), "doc_id", "text")
+
+
+def _judged(rows: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
+    """rid, twin, doc_id, n and `best` (the component's first row: doc_id, rid, twin) of every row of row_ids()."""
     run, schema = _signature_rows(k)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = cut(picked.mapInArrow(run, schema), "signatures")
-    filled = sigs.where("n > 0")
-    classes = cut(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    inside = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = inside.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("center")).where("size > 1")
-    members = cut(inside.join(shared, "key").select("key", "rep", "n", "center"), "members")
-    asked = members.select("rep").distinct()
+    sigs = cut(rows.mapInArrow(run, schema), "signatures")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "twin")).alias("best")
+    classes = sigs.where("n > 0").groupBy(*_CLASS).agg(best, F.first("bands").alias("bands"), F.first("cells").alias("cells"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    inside = classes.select("node", "n", F.explode("bands").alias("key"))
+    shared = inside.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    members = cut(inside.join(shared, "key"), "members")
+    asked = classes.join(members.select("node").distinct(), "node").select("node", "cells", F.col("best.rid").alias("rid"), *_CLASS)
     run, schema = _set_rows(k)
-    sets = cut(picked.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, schema), "sets")
-    sig = classes.select("rep", "sig")
+    found = rows.join(asked.select("rid"), "rid", "left_semi").select("text").mapInArrow(run, schema)
+    sets = cut(asked.drop("rid").join(found, _CLASS).dropDuplicates(_CLASS).select("node", "n", "cells", "shingles"), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (u, v)."""
-        alike = F.aggregate(F.zip_with("sig_u", "sig_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-        least = percent / 100 * BINS - 6 * (BINS * percent / 100 * (1 - percent / 100)) ** 0.5  # six standard deviations below
-        pairs = pairs.distinct().join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
-        pairs = pairs.where(alike >= least).select("u", "v")
-        full = pairs.join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), "u")
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
+        differ = F.aggregate(F.zip_with("cells_u", "cells_v", lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
+        near = pairs.join(side("u"), "u").join(side("v"), "v").where(differ * (100 + percent) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+        full = near.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
         run, schema = _confirm(percent)
-        return full.select("u", "v", "a", "b").mapInArrow(run, schema).distinct()
-
-    near = F.expr(f"100 * least(n, n_v) >= {percent} * greatest(n, n_v)")
-    sizes = classes.select(F.col("rep").alias("center"), F.col("n").alias("n_v"))
-    first = members.where("rep <> center").join(sizes, "center").where(near).select(F.col("rep").alias("u"), F.col("center").alias("v"))
-    comp = cut(connected(cut(compared(first), "links")), "components")
-    # the first centre of every bucket has met all others; what is left of a bucket goes on while it lies in several components
-    left = members.where("rep <> center").select("key", "rep", "n")
-    centers = 4
-    while True:
-        label = left.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        sizes = label.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
-        # members of small components come first: the largest need not be a centre's home
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "component", "rep"))
-        ranked = cut(label.join(mixed, "key").join(sizes, ["key", "component"]).withColumn("rank", rank), "ranked")
-        if not ranked.limit(1).count():
-            break
-        center = ranked.where(F.col("rank") <= centers).select("key", F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("cv"), F.col("rank").alias("rank_v"))
-        pairs = ranked.join(center, "key").where((F.col("rank") > F.col("rank_v")) & (F.col("component") != F.col("cv")) & near).select(F.col("rep").alias("u"), "v")
-        more = cut(compared(pairs), "links")
-        if more.limit(1).count():
-            comp = cut(_merged(comp, more), "components")
-        left = ranked.where(F.col("rank") > centers).select("key", "rep", "n")
-        centers *= 4
-    of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sigs.join(of_class, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        return full.select("u", "v", "a", "b").mapInArrow(run, schema)
+
+    comp = tried = None
+    for r in range(rounds):
+        home = members.withColumn("component", F.col("node")) if comp is None else members.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        draw = F.min(F.struct(F.xxhash64("node", "key", F.lit(r)).alias("draw"), "node", "n", "component")).alias("c")
+        center = home.groupBy("key").agg(draw, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "c")
+        close = F.expr(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+        pairs = home.join(center, "key").where((F.col("component") != F.col("c.component")) & close).select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        links = cut(compared(pairs), "links")
+        comp = cut(connected(links) if comp is None else _merged(comp, links), "components")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    home = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select(*_CLASS, "best", F.coalesce("component", "node").alias("component"))
+    first = home.groupBy("component").agg(F.min("best").alias("best"))
+    of_class = home.select(*_CLASS, "component").join(first, "component").select(*_CLASS, "best")
+    return sigs.select("rid", "twin", "doc_id", *_CLASS).join(of_class, _CLASS, "left").select("rid", "twin", "doc_id", "n", "best")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; links need 100 * intersection >= percent * union."""
+    component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    kept = component.isNull() | component.eqNullSafe(F.col("doc_id"))
+    return _judged(row_ids(docs), k, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
+    """Rows of docs, all columns: the first of each component (by doc_id, null last), and all whose set is empty. Of rows equal in id and text one stays."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    ids = row_ids(plain.select(F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text")))
+    judged = _judged(ids, k, percent, rounds)
+    kept = judged.where((F.col("n") == 0) | (F.col("best.rid") == F.col("rid")) & (F.col("best.twin") == F.col("twin"))).select("rid", "twin").distinct()
+    doc_id, text = F.col(names[docs.columns.index("doc_id")]).cast("long"), F.coalesce(names[docs.columns.index("text")], F.lit(""))
+    out = plain.withColumns({"rid": F.xxhash64(doc_id, text), "twin": F.xxhash64(text, doc_id)}).join(kept, ["rid", "twin"])
+    return out.dropDuplicates(["rid", "twin"]).select(*[F.col(c).alias(a) for c, a in zip(names, docs.columns)])
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

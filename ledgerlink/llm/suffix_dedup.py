@@ -5,7 +5,8 @@ result. Each window of `length` bytes is represented by its anchor, the least-ha
 leftmost of equals): equal windows have equal anchors at equal places. Windows that share an anchor form one entry.
 
 1. Entries are dealt by anchor. An anchor that occurs once ends there. Entries whose whole stretch of text occurs again
-   are copies, pre-aggregated to one representative. What is left are the edges of repeated passages.
+   are copies, pre-aggregated to one representative. What is left are the edges of repeated passages. Stretches are
+   equal if two independent 64-bit hashes of them are (among 10**12 stretches a false copy has a probability below 10**-14).
 2. Edges, and one representative of each distinct stretch with the same anchor, send their text.
 3. Their suffixes are sorted by the deep-shallow method: multikey quicksort by machine words to a shallow depth, then
    blind tries for the groups that still share a prefix. Neighbours with a common prefix of `length` bytes are repeats.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import RangeHash, U64, arrow_bytes, buckets, csr_gather, cut, documents, mix, slices
+from .common import U64, arrow_bytes, buckets, chunk_view, csr_gather, cut, documents, mix, range_hashes, slices
 from .packed import Packing, beside_text, marked_batches, of_rows, with_row_ids
 
 #: Bytes of text that are hashed at once.
@@ -33,7 +34,8 @@ PIECE = 1 << 20
 #: Machine words that multikey quicksort looks at before blind tries take over.
 SHALLOW_WORDS = 3
 EDGE, COPY, REPRESENTATIVE = 0, 1, 2
-_ENTRIES = Packing(rid=np.int64, key=U64, stretch=U64, lo=np.int64, nw=np.uint8, place=np.uint8, kind=np.uint8)
+_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
+_ENTRIES = Packing(rid=np.int64, key=U64, stretch=U64, twin=U64, lo=np.int64, nw=np.uint8, place=np.uint8, kind=np.uint8)
 
 
 # --- suffix sorting ------------------------------------------------------------------------------------------------
@@ -143,8 +145,23 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+_powers: list[np.ndarray] = []
+
+
+def _grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """Rolling hashes of all k-mers. They only choose and deal anchors: unlike k-mers of one hash cost time, never a result."""
+    if not _powers or len(_powers[0]) <= len(buf):
+        base, n = 0x9E3779B97F4A7C15, max(len(buf), 2 * PIECE) + 1
+        up, down = np.full(n, base, U64), np.full(n, pow(base, -1, 1 << 64), U64)
+        up[0] = down[0] = 1
+        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    sums = np.zeros(len(buf) + 1, U64)
+    np.cumsum(_CODES[buf] * _powers[0][: len(buf)], out=sums[1:])
+    return (sums[k:] - sums[:-k]) * _powers[1][: len(buf) - k + 1]
+
+
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
-    """Row, first window, number of windows, place of the anchor in the first window, key and stretch hash of each entry."""
+    """Row, first window, number of windows, place of the anchor in the first window, key and two stretch hashes of each entry."""
     k = length // 2
     w = length - k + 1
     sizes = np.diff(offsets)
@@ -154,17 +171,18 @@ def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
     np.subtract.at(ok, offsets[1:][fits] - length + 1, 1)
     start = np.flatnonzero(np.cumsum(ok)[:-1] > 0)
     if not len(start):
-        return (np.zeros(0, np.int64),) * 6
-    h = RangeHash(buf)
-    n = len(buf) - k + 1
-    grams = h.raw(np.arange(n), np.arange(k, n + k))
+        return (np.zeros(0, np.int64),) * 7
+    grams = _grams(buf, k)
+    n = len(grams)
     place = mix(grams) & U64(0xFFFFFFFF00000000) | np.arange(n, dtype=U64)
     anchor = (_sliding_least(place, w)[start] & U64(0xFFFFFFFF)).astype(np.int64)
     begin = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
     lo, hi, anchor = start[begin], start[np.append(begin[1:], len(start)) - 1], anchor[begin]
     row = np.searchsorted(offsets, lo, side="right") - 1
-    stretch = h(lo, hi + length) + (anchor - lo).astype(U64) * U64(0x9E3779B97F4A7C15)
-    return row, lo - offsets[row], hi - lo + 1, anchor - lo, mix(grams[anchor]), stretch
+    view = chunk_view(buf)
+    at = (anchor - lo).astype(U64) * U64(0x9E3779B97F4A7C15)
+    stretch, twin = (range_hashes(buf, lo, hi + length, seed, view) + at for seed in (0, 1))
+    return row, lo - offsets[row], hi - lo + 1, anchor - lo, mix(grams[anchor]), stretch, twin
 
 
 def _pieces(buf: np.ndarray, off: np.ndarray, length: int):
@@ -187,8 +205,8 @@ def _emit_anchors(length: int, n: int):
             held: list[tuple] = []
             count = 0
             for i, part, offsets, base in _pieces(buf, off, length):
-                row, lo, nw, place, key, stretch = _anchors(part, offsets, length)
-                held.append((rid[i + row], lo + base, nw, place, key, stretch))
+                row, lo, *rest = _anchors(part, offsets, length)
+                held.append((rid[i + row], lo + base, *rest))
                 count += len(row)
                 if count > 300_000:
                     yield _emit(held, n)
@@ -201,31 +219,31 @@ def _emit_anchors(length: int, n: int):
 
 def _emit(held: list[tuple], n: int):
     """Entries of one batch. Copies within it are settled here: one goes on as representative, the others are dealt by row."""
-    rid, lo, nw, place, key, stretch = (np.concatenate(x) for x in zip(*held))
-    by = np.lexsort((stretch, key))
-    again = np.append(False, (key[by][1:] == key[by][:-1]) & (stretch[by][1:] == stretch[by][:-1]))
+    rid, lo, nw, place, key, stretch, twin = (np.concatenate(x) for x in zip(*held))
+    by = np.lexsort((twin, stretch, key))
+    again = np.append(False, np.logical_and.reduce([x[by][1:] == x[by][:-1] for x in (key, stretch, twin)]))
     kind = np.full(len(by), EDGE)
     kind[by[np.flatnonzero(again) - 1]] = REPRESENTATIVE
     kind[by[again]] = COPY
     bucket = np.where(kind == COPY, np.mod(rid, n), (key % U64(n)).astype(np.int64))
-    return _ENTRIES.pack(bucket, {"rid": rid, "key": key, "stretch": stretch, "lo": lo, "nw": nw, "place": place, "kind": kind})
+    return _ENTRIES.pack(bucket, {"rid": rid, "key": key, "stretch": stretch, "twin": twin, "lo": lo, "nw": nw, "place": place, "kind": kind})
 
 
 def _mark_repeats(n: int):
     """Of all entries of an anchor: which are copies, which are edges, which represent."""
 
     def run(batches: Iterator) -> Iterator:
-        x = _ENTRIES.unpack(list(batches), ("rid", "key", "stretch", "lo", "nw", "place", "kind"))
+        x = _ENTRIES.unpack(list(batches), ("rid", "key", "stretch", "twin", "lo", "nw", "place", "kind"))
         settled = x["kind"] == COPY
         if settled.any():
             yield _ENTRIES.pack(np.mod(x["rid"][settled], n), {k: x[k][settled] for k in ("rid", "key", "lo", "nw", "place", "kind")})
             x = {k: v[~settled] for k, v in x.items()}
         if not len(x["key"]):
             return
-        by = np.lexsort((x["stretch"], x["key"]))
+        by = np.lexsort((x["twin"], x["stretch"], x["key"]))
         x = {k: v[by] for k, v in x.items()}
         new_key = np.append(True, x["key"][1:] != x["key"][:-1])
-        new_stretch = new_key | np.append(True, x["stretch"][1:] != x["stretch"][:-1])
+        new_stretch = new_key | np.append(True, (x["stretch"][1:] != x["stretch"][:-1]) | (x["twin"][1:] != x["twin"][:-1]))
         of_key, of_stretch = np.cumsum(new_key) - 1, np.cumsum(new_stretch) - 1
         n_key, n_stretch = np.bincount(of_key), np.bincount(of_stretch)
         stretches = np.bincount(of_key[new_stretch])

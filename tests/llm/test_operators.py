@@ -107,6 +107,44 @@ def test_near_duplicates_in_rounds(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 10: 5}
 
 
+def test_texts_that_collide_in_linear_hashes(spark):
+    """Thue-Morse words of 1,024 letters and their complements agree in every polynomial hash modulo 2**64."""
+    from ledgerlink.llm.common import range_hashes
+    from ledgerlink.llm.decontaminate import contamination
+    from ledgerlink.llm.katz import score_documents
+    from ledgerlink.llm.line_dedup import remove_repeated_lines
+    from ledgerlink.llm.minhash import near_duplicates
+
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    y = x.translate({97: 98, 98: 97})
+    buf = np.frombuffer((x + y).encode(), np.uint8)
+    for seed in (0, 1):
+        h = range_hashes(buf, np.array([0, 1024, 0]), np.array([1024, 2048, 1023]), seed)
+        assert len(set(h.tolist())) == 3
+    rows = [(1, f"{x}\nsecond line\nthird line"), (2, f"{y}\nsecond line\nthird line"), (3, x), (4, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeated_lines(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert sorted(tuple(r) for r in near_duplicates(df, 1, 85).collect()) == ref.near_duplicates(rows, 1, 85)
+    item = spark.createDataFrame([(1, x)], "item_id long, text string")
+    assert {r.doc_id for r in contamination(df, item).where("contaminated").collect()} == {1, 3}
+    want, _ = ref.katz(rows)
+    assert {r.doc_id: r.n_known for r in score_documents(df).collect()} == {d: v[2] for d, v in want.items()}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    from ledgerlink.llm.minhash import drop_near_duplicates, near_duplicates
+
+    a, b, c = ("\u0020".join(f"{p}{i}" for i in range(40)) for p in "xyz")
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (None, b, "s"), (None, c, "t"), (3, None, "u"), (3, "", "v"), (4, c + " end", "w"), (1, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string").withColumn("twin", F.lit(1))
+    got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+    want = [(1, 36, 1, True), (1, 36, 1, True), (2, 36, 1, False), (2, 36, 2, True), (3, 0, 3, True), (3, 0, 3, True), (4, 37, 4, True), (None, 36, 2, False), (None, 36, 4, False)]
+    assert got == sorted(want, key=str)
+    kept = drop_near_duplicates(df)
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == df.columns and len(left) == 4 and {(1, a), (2, b), (4, c + " end")} < set(left)
+
+
 def test_quality_counts(docs, odd):
     from ledgerlink.llm.quality_rules import base_counts, base_failed
 

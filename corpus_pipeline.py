@@ -14,7 +14,7 @@ from ledgerlink.llm.bpe import digest_documents
 from ledgerlink.llm.common import cut, documents
 from ledgerlink.llm.decontaminate import drop_contaminated
 from ledgerlink.llm.line_dedup import remove_repeated_lines
-from ledgerlink.llm.minhash import near_duplicates
+from ledgerlink.llm.minhash import drop_near_duplicates
 from ledgerlink.llm.quality_rules import keep_good
 
 
@@ -31,11 +31,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates (five words, 0.8)."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """One document, that of the least id, of each group of near duplicates (five words, 0.8).
+
+    Blank texts stay; a null id is never the least unless the group has no other; of rows equal in id and text one stays.
+    """
+    return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,8 +38,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
+    names = ("kind", "rule", "rule_host", "rule_path")
     rows = [(kind, rule, rule.partition("/")[0], "/" + rule.partition("/")[2]) for kind, rule in rules]
-    return spark.createDataFrame(rows, "kind string, rule string, rule_host string, rule_path string")
+    if not rows:
+        return spark.range(0).select(*[F.lit("").alias(c) for c in names])
+    each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.explode(each).alias("r")).select("r.*")
 
 
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -58,18 +62,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = 12, damping: float = 0.85, cut_every: int = 3) -> DataFrame:
-    """host, trust, distrust. edges: src, dst, n. seeds: host, kind ('t' or 'd'), weight; weights of a kind sum to 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-4, damping: float = 0.85, cut_every: int = 4, iterations: int | None = None) -> DataFrame:
+    """host, trust, distrust. edges: src, dst, n. seeds: host, kind ('t' or 'd'), weight; weights of a kind sum to 1.
+
+    Goes on until an iteration moves no more than `tolerance` of the mass of a kind, looked at every `cut_every`
+    iterations; what moves shrinks by `damping` at least each time, so that is soon. `iterations`: so many instead.
+    """
     ways = edges.select(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
-    total = ways.groupBy("kind", "a").agg(F.sum("n").alias("total"))
+    total = cut(ways.groupBy("kind", "a").agg(F.sum("n").alias("total")), "totals")
     ways = cut(ways.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("total")).alias("p")), "edges")
     base = seeds.select("kind", F.col("host").alias("b"), (F.col("weight") * (1 - damping)).alias("r"))
-    rank = base
-    for i in range(iterations):
+    rank, i = base, 0
+    while iterations is None or i < iterations:
+        i += 1
         moved = rank.withColumnRenamed("b", "a").join(ways, ["kind", "a"]).select("kind", "b", (F.col("r") * F.col("p") * damping).alias("r"))
-        rank = moved.unionByName(base).groupBy("kind", "b").agg(F.sum("r").alias("r"))
-        if (i + 1) % cut_every == 0:
+        rank, before = moved.unionByName(base).groupBy("kind", "b").agg(F.sum("r").alias("r")), rank
+        if i % cut_every == 0:
+            before = cut(before, "rank")
             rank = cut(rank, "rank")
+            change = rank.unionByName(before.withColumn("r", -F.col("r"))).groupBy("kind", "b").agg(F.abs(F.sum("r")).alias("r")).groupBy("kind").agg(F.sum("r").alias("r")).agg(F.max("r")).first()[0]  # one number
+            if iterations is None and (change or 0.0) <= tolerance:
+                break
     mass = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0))
     return rank.groupBy(F.col("b").alias("host")).agg(mass("t").alias("trust"), mass("d").alias("distrust"))
 
@@ -82,9 +95,10 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.05, **option
     counts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     ruled = rules_by_host(counts, rules_table(spark, rules))
     fit = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    urls = urls.join(ruled, "host", "left").withColumn("fit", fit).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.kind").alias("kind"))
+    # a table of its own: the join may split a hot host, and counts combine before their shuffle
+    urls = cut(urls.join(ruled, "host", "left").withColumn("fit", fit).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.kind").alias("kind")), "ruled")
     per = urls.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("kind") == "allow").alias("good"), F.count_if(F.col("kind") == "block").alias("bad"))
-    per = cut(per, "hosts")
+    per = cut(per, "hosts")  # one row a host
     blocked = 2 * F.col("bad") >= F.col("pages")
     picked = per.where("good + bad > 0").select("host", F.when(blocked, "d").when(F.col("good") > 0, "t").alias("kind")).where("kind is not null")
     sizes = picked.groupBy("kind").agg(F.count(F.lit(1)).alias("seeds"))  # two rows

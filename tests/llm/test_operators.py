@@ -164,7 +164,9 @@ def test_quality_rules(spark, sf_dir, odd, none):
     bad = both.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert got.count() == 200 and good > 0.98 and (bad is None or bad < 0.2)
     assert quality_rules(odd).count() == len(ODD)
-    assert keep_good(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"rid": "_rid"}).withColumns({"_g": F.lit(1), "_c0": F.lit("x"), "x0": F.lit(2.0)})
+    whole = keep_good(clash)
+    assert whole.columns == clash.columns and whole.where("_rid = 'clash' and _c0 = 'x' and _g = 1").count() == keep_good(odd.unionByName(odd.limit(0))).count()
     assert quality_rules(none).count() == 0
 
 
@@ -176,8 +178,51 @@ def test_robust_distance_matches_covariance(spark):
     df = spark.createDataFrame([(i, "a", "b", *map(float, r)) for i, r in enumerate(x)], "doc_id long, lang string, source string, a double, b double, c double")
     got = robust_outliers(df, [F.col("a"), F.col("b"), F.col("c")], h=1.0, steps=2, ridge=0.0).orderBy("doc_id").toPandas()
     d = np.einsum("ij,jk,ik->i", x - x.mean(0), np.linalg.inv(np.cov(x.T, bias=True)), x - x.mean(0))
-    ratio = got["distance2"].to_numpy() / d
-    assert np.allclose(ratio, ratio[0], rtol=1e-6) and ratio[0] <= 1 + 1e-9
+    assert np.allclose(got["distance2"].to_numpy(), d, rtol=1e-6)
+
+
+def test_robust_distance_by_brute_force(spark):
+    """All starts, steps and the least determinant again in numpy, with a cluster of outliers and a small group."""
+    from ledgerlink.llm.quality_rules import chi_square, consistency, robust_outliers
+
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(400, 2)), rng.normal(size=(90, 2)) * 0.1 + 12, rng.normal(size=(9, 2)) * 3 - 4])
+    group = ["a"] * 490 + [None] * 9
+    df = spark.createDataFrame([(i, g, None, *map(float, r)) for i, (g, r) in enumerate(zip(group, x))], "doc_id long, lang string, source string, a double, b double")
+    got = robust_outliers(df, [F.col("a"), F.col("b")], h=0.75, steps=3, starts=2, z=4.0).orderBy("doc_id").toPandas()
+    part = np.array([r[0] for r in df.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(1), "a", "b"), F.lit(2))).collect()])
+    of = np.array([g is None for g in group]).astype(int)
+    rows_of = {0: np.flatnonzero(of == 0), 1: np.flatnonzero(of == 1), 2: np.arange(len(x))}  # 2: the group of all
+
+    def estimates(chosen, factor):
+        """chosen: per start and group the rows used."""
+        out = {}
+        for (s, g), rows in chosen.items():
+            every = x[chosen[s, 2]]
+            n, m0, s0 = len(rows), every.mean(0), every.T @ every / len(every)
+            m = (x[rows].sum(0) + 200 * m0) / (n + 200)
+            out[s, g] = m, ((x[rows].T @ x[rows] + 200 * s0) / (n + 200) - np.outer(m, m)) * factor + 0.01 * np.eye(2)
+        return out
+
+    q = lambda v, p: np.sort(v)[max(int(np.ceil(p * len(v))) - 1, 0)]
+    now = estimates({(s, g): rows[part[rows] == s] for s in (0, 1) for g, rows in rows_of.items()}, 1.0)
+    for g, rows in rows_of.items():
+        v = x[rows]
+        now[-1, g] = np.array([q(c, 0.5) for c in v.T]), np.diag([((q(c, 0.75) - q(c, 0.25)) / 1.35) ** 2 + 0.01 for c in v.T])
+    far = lambda e, rows: np.einsum("ij,jk,ik->i", x[rows] - e[0], np.linalg.inv(e[1]), x[rows] - e[0])
+    for _ in range(3):
+        chosen = {}
+        for (s, g), e in now.items():
+            rows = rows_of[g]
+            d = far(e, rows)
+            chosen[s, g] = rows[d <= q(d, 0.75)]
+        now = estimates(chosen, consistency(2, 0.75))
+    want = np.zeros(len(x))
+    for g in (0, 1):
+        best = min((np.log(np.linalg.det(now[s, g][1])), s) for s in (-1, 0, 1))[1]
+        want[of == g] = far(now[best, g], np.flatnonzero(of == g))
+    assert np.allclose(got["distance2"], want, rtol=1e-6)
+    assert (got["outlier"].to_numpy() == (want > chi_square(2, 4.0))).all() and got["outlier"][400:490].all() and got["outlier"][:400].mean() < 0.05
 
 
 def test_chat_format(spark, sf_dir):

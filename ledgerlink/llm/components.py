@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cuts
 
 
 def _is_star_forest(e: DataFrame) -> bool:
@@ -29,5 +29,6 @@ def connected(edges: DataFrame, most: int = 50) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct(), "links")
+        e, before = cut(small.distinct(), "links"), e
+        drop_cuts(before)
     raise RuntimeError("components did not settle")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, arrow_bytes, cut, documents, drop_cut, lower_ascii, mix, range_hashes, slices, word_ranges
+from .common import _SPACE, U64, arrow_bytes, cut, documents, drop_cuts, lower_ascii, mix, range_hashes, slices, word_ranges
 from .line_dedup import _solid_lines, line_ranges
 
 BITS = 17
@@ -307,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds:
     known = rows.select("doc_id").join(least, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     got = rows.join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas().drop_duplicates("doc_id")  # at most max_labelled ids
     if not len(got):
-        drop_cut(rows)
+        drop_cuts(rows)
         return model
     moments = rows.select("page").mapInArrow(_moments, "k long, n long, s double, q double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").toPandas()
     mean = (moments["s"] / moments["n"]).to_numpy()
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds:
             part[:, mine["k"].to_numpy(int)] = mine[["g", "h"]].to_numpy(float).T / _ONE
             c.fit(tuple((np.append(part[0, a:b], part[0, sum(size) + v]), np.append(part[1, a:b], part[1, sum(size) + v])) for v, (a, b) in enumerate(((0, size[0]), (size[0], sum(size))))))
             model["pool"].append((t, *(2 * part[1, sum(size) :])))
-    drop_cut(rows)
+    drop_cuts(rows)
     return model | {t: c.combined() for t, c in learnt.items()}
 
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_bytes, cut, documents, lower_ascii, mix, range_hashes, slices, word_ranges
+from .common import U64, arrow_bytes, cut, documents, drop_cuts, lower_ascii, mix, range_hashes, slices, word_ranges
 from .components import connected
 
 BINS, ROWS = 128, 4
@@ -173,7 +173,7 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links: only the components that a link touches are looked at."""
     home = comp.select(F.col("id").alias("u"), F.col("component").alias("cu"))
     ends = links.join(home, "u", "left").join(home.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
-    joined = cut(connected(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))), "joined")
+    joined = connected(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
     to = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
     moved = comp.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     return moved.unionByName(joined.join(comp.select("id"), "id", "left_anti"))
@@ -213,6 +213,7 @@ def _judged(rows: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
         return full.select("u", "v", "a", "b").mapInArrow(run, schema)
 
     comp = tried = None
+    done = [sigs, classes, members, sets]
     for r in range(rounds):
         home = members.withColumn("component", F.col("node")) if comp is None else members.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         draw = F.min(F.struct(F.xxhash64("node", "key", F.lit(r)).alias("draw"), "node", "n", "component")).alias("c")
@@ -222,11 +223,14 @@ def _judged(rows: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
         pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         links = cut(compared(pairs), "links")
         comp = cut(connected(links) if comp is None else _merged(comp, links), "components")
+        done += [pairs, links, comp]
         tried = pairs if tried is None else tried.unionByName(pairs)
     home = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select(*_CLASS, "best", F.coalesce("component", "node").alias("component"))
     first = home.groupBy("component").agg(F.min("best").alias("best"))
     of_class = home.select(*_CLASS, "component").join(first, "component").select(*_CLASS, "best")
-    return sigs.select("rid", "twin", "doc_id", *_CLASS).join(of_class, _CLASS, "left").select("rid", "twin", "doc_id", "n", "best")
+    out = cut(sigs.select("rid", "twin", "doc_id", *_CLASS).join(of_class, _CLASS, "left").select("rid", "twin", "doc_id", "n", "best"), "judged")
+    drop_cuts(*done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cuts
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: kind, rule
@@ -72,7 +72,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-4, dampi
     total = cut(ways.groupBy("kind", "a").agg(F.sum("n").alias("total")), "totals")
     ways = cut(ways.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("total")).alias("p")), "edges")
     base = seeds.select("kind", F.col("host").alias("b"), (F.col("weight") * (1 - damping)).alias("r"))
-    rank, i = base, 0
+    rank, i, held = base, 0, []
     while iterations is None or i < iterations:
         i += 1
         moved = rank.withColumnRenamed("b", "a").join(ways, ["kind", "a"]).select("kind", "b", (F.col("r") * F.col("p") * damping).alias("r"))
@@ -80,6 +80,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-4, dampi
         if i % cut_every == 0:
             before = cut(before, "rank")
             rank = cut(rank, "rank")
+            drop_cuts(*held)
+            held = [before, rank]
             change = rank.unionByName(before.withColumn("r", -F.col("r"))).groupBy("kind", "b").agg(F.abs(F.sum("r")).alias("r")).groupBy("kind").agg(F.sum("r").alias("r")).agg(F.max("r")).first()[0]  # one number
             if iterations is None and (change or 0.0) <= tolerance:
                 break

@@ -72,7 +72,7 @@ ORACLES: dict[str, str] = {
     "n_dates": "SELECT seq, day AS date FROM payments",
     "n_ngrams": """SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_concat(
       list_transform(range(1, greatest(length(c) - 1, 1)), lambda i: substring(c, i, 3)), list_transform(range(1, greatest(length(c) - 2, 1)), lambda i: substring(c, i, 4))), list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substring(c, i, 5)))) AS g
-      FROM (SELECT regexp_replace(label, '\\s+', '', 'g') AS c FROM payments WHERE seq % 20 = 0) a) b GROUP BY g""",
+      FROM (SELECT regexp_replace(label, '\\s+', '', 'g') AS c FROM payments) a) b GROUP BY g""",
     "e_signals": f"""WITH {SIGNALS} SELECT seq, array_to_string(refs, ',') AS refs, array_to_string(periods, ',') AS periods,
       CASE WHEN length(trim(label_n)) < 3 THEN 'EMPTY' WHEN len(refs) = 1 AND len(periods) = 0 THEN 'SINGLE_REF' WHEN len(refs) > 1 THEN 'MULTI_REF' WHEN len(periods) > 0 AND len(refs) = 0 THEN 'PERIOD_ONLY'
         WHEN len(refs) > 0 AND len(periods) > 0 THEN 'MIXED' WHEN len(string_split(trim(label_n), ' ')) <= 2 THEN 'CRYPTIC' ELSE 'MIXED' END AS label_class,
@@ -85,7 +85,7 @@ ORACLES: dict[str, str] = {
       round(len(list_intersect(ga, gb)) * 1e0 / len(list_distinct(list_concat(ga, gb))), 6) AS grams, round(jaro_winkler_similarity(a, b), 6) AS jw FROM (
       SELECT *, array_to_string(list_sort(list_filter(string_split_regex(a, '\\s+'), lambda t: t <> '')), ' ') AS ta, array_to_string(list_sort(list_filter(string_split_regex(b, '\\s+'), lambda t: t <> '')), ' ') AS tb,
         list_distinct(list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3))) AS ga, list_distinct(list_transform(range(1, length(b) - 1), lambda i: substring(b, i, 3))) AS gb
-      FROM (SELECT seq, ord, strip_accents(upper(label)) AS a, reference AS b FROM payments p JOIN invoices i ON p.did = i.did WHERE abs(ord - seq) < 2000) q) r""",
+      FROM (SELECT seq, ord, strip_accents(upper(label)) AS a, reference AS b FROM payments p JOIN invoices i ON p.did = i.did) q) r""",
     "k_credit_note": """SELECT seq, ord, cid, CASE WHEN kind = 0 THEN 'R-M007' ELSE 'R-M006' END AS rule, CASE WHEN kind = 0 THEN 0.97e0 ELSE 0.95e0 END AS confidence FROM (
       SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ord, kind, cid) AS k FROM (
         SELECT p.seq, i.ord, c.cid, CASE WHEN px = a - c THEN 0 WHEN 100 * abs(px - (a - c)) < a THEN 1 END AS kind
@@ -139,7 +139,7 @@ ORACLES: dict[str, str] = {
     "l9_active_learning": "SELECT seq, x % 1000 / 1000e0 AS p FROM payments ORDER BY abs(x % 1000 / 1000e0 - 0.5e0), seq LIMIT 50",
     "l12_rank": """SELECT seq, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, ord) AS rank FROM (
       SELECT seq, ord, round(0.6e0 * 0e0 + 0.4e0 * least(CASE WHEN abs(x - a) < 1 THEN 0.40e0 WHEN 100 * abs(x - a) < 5 * a THEN 0.30e0 WHEN 100 * abs(x - a) < 20 * a THEN 0.15e0 ELSE 0e0 END + 0.25e0 + CASE WHEN abs(day - due) <= 7 THEN 0.20e0 WHEN abs(day - due) <= 30 THEN 0.10e0 ELSE 0e0 END + 0e0, 1e0), 6) AS score
-      FROM payments p JOIN invoices i ON p.did = i.did WHERE seq % 10 = 9) t) u WHERE rank <= 5""",
+      FROM payments p JOIN invoices i ON p.did = i.did) t) u WHERE rank <= 5""",
     "l10_psi": """WITH v AS (SELECT seq % 2 AS side, x * 1e0 AS v FROM payments), b AS (SELECT min(v) AS lo, max(v) AS hi FROM v), c AS (SELECT side, least(9, CAST(floor((v - lo) / ((hi - lo) / 10)) AS int)) AS k FROM v, b),
       n AS (SELECT count(*) FILTER (side = 0) AS ne, count(*) FILTER (side = 1) AS na FROM v), h AS (SELECT g.k, count(c.k) FILTER (side = 0) AS e, count(c.k) FILTER (side = 1) AS a FROM (SELECT unnest(range(10)) AS k) g LEFT JOIN c ON g.k = c.k GROUP BY g.k)
       SELECT round(sum((a * 1e0 / na - e * 1e0 / ne) * ln((a * 1e0 / na + 1e-6) / (e * 1e0 / ne + 1e-6))), 6) AS psi FROM h, n""",
@@ -147,5 +147,3 @@ ORACLES: dict[str, str] = {
       SELECT did, token, n FROM (SELECT did, token, count(*) AS n, row_number() OVER (PARTITION BY did ORDER BY count(*) DESC, token) AS k FROM t WHERE token NOT IN ('', 'DE', 'DU', 'LA', 'LE', 'LES', 'DES', 'ET', 'THE', 'OF', 'AND', 'FOR') GROUP BY did, token) u WHERE k <= 15""",
     "r9_label_profile": "SELECT did, round(avg(length(label)), 6) AS mean_length, round(avg(CASE WHEN length(trim(label)) < 3 THEN 1e0 ELSE 0e0 END), 6) AS empty_share, round(avg(CASE WHEN len(string_split_regex(trim(label), '\\s+')) <= 2 THEN 1e0 ELSE 0e0 END), 6) AS short_share FROM payments GROUP BY did",
 }
-#: The same for every payment.
-ORACLES |= {"n_ngrams_all": ORACLES["n_ngrams"].replace(" WHERE seq % 20 = 0", ""), "l12_rank_all": ORACLES["l12_rank"].replace(" WHERE seq % 10 = 9", ""), "f_similarities_all": ORACLES["f_similarities"].replace(" WHERE abs(ord - seq) < 2000", "")}

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import signals, similarity, text
 from ..operators import combinatorial as cb
-from ..operators import exact, fuzzy, profiler, scoring, temporal, tolerance
+from ..operators import exact, fuzzy, profiler, review, scoring, temporal, tolerance
 from ..sources.durable import cut
 from ..sources.fixtures import oracle, run_sql, table, view
 from . import cascade, sequential
 from .oracles import ORACLES
-from .reports import REPORTS, TOLERANCE
+from .reports import QUEUES, REPORTS, TOLERANCE
 
 FLAGSHIP = "cascade"
 
@@ -68,14 +68,6 @@ def n_dates(p):
 
 @_views(P)
 def n_ngrams(p):
-    """One payment in twenty, as its SQL has it; n_ngrams_all takes every payment."""
-    return _ngrams(p.where("seq % 20 = 0"))
-
-
-n_ngrams_all = _views(P)(lambda p: _ngrams(p))
-
-
-def _ngrams(p: DataFrame) -> DataFrame:
     return p.select("seq", F.explode(text.char_ngrams(F.col("label"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -93,14 +85,8 @@ def m_entities(p):
 
 @_views(P, I)
 def f_similarities(p, i):
-    """Pairs with near ids, as its SQL has it; f_similarities_all takes every pair of a debtor."""
-    return _similarities(p.join(i.select("did", "ord", "reference"), "did").where("abs(ord - seq) < 2000"))
-
-
-f_similarities_all = _views(P, I)(lambda p, i: _similarities(p.join(i.select("did", "ord", "reference"), "did")))
-
-
-def _similarities(pair: DataFrame) -> DataFrame:
+    """Every pair of a debtor."""
+    pair = p.join(i.select("did", "ord", "reference"), "did")
     a, b = text.deaccent(F.upper("label")), F.col("reference")
     r = lambda c: F.round(c, 6)
     return pair.select("seq", "ord", r(similarity.levenshtein_ratio(a, b)).alias("lev"), r(similarity.token_sort_ratio(a, b)).alias("tsort"), r(similarity.token_set_ratio(a, b)).alias("tset"), r(similarity.ngram_jaccard(a, b)).alias("grams"), r(similarity.jaro_winkler(a, b)).alias("jw"))
@@ -142,14 +128,6 @@ def l_features(p, i, d):
 
 @_views(P, I)
 def l_rank(p, i):
-    """One payment in ten, as its SQL has it; l12_rank_all takes every payment."""
-    return _rank(p.where("seq % 10 = 9"), i)
-
-
-l_rank_all = _views(P, I)(lambda p, i: _rank(p, i))
-
-
-def _rank(p: DataFrame, i: DataFrame) -> DataFrame:
     pair = p.join(i.select("did", "ord", "a", "due"), "did").select("seq", "ord", "x", "a", F.lit(True).alias("same_debtor"), F.datediff("day", "due").alias("days_due"), F.lit(0.0).alias("ref"), F.lit(0.0).alias("p"))
     return scoring.rank_candidates(pair).select("seq", "ord", "score", "rank")
 
@@ -190,6 +168,16 @@ def cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade_rows(spark, sf_dir).groupBy("layer", "rule").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("ords"))
 
 
+AS_OF = "2001-12-31"
+
+
+@_views("grouped", P)
+def r5_invoices(g, p):
+    """Invoices per payment: single payments have one, grouped ones their n."""
+    every = p.select("did", F.lit(1).alias("n")).unionByName(g.select("did", "n"))
+    return every.groupBy("did").agg(F.round(F.avg("n"), 6).alias("mean_n"), F.max("n").alias("max_n"), F.round(F.avg((F.col("n") > 1).cast("int")), 6).alias("share"))
+
+
 @_views(P, I)
 def x4_depletion(p, i):
     return sequential.deplete(p, i)
@@ -197,8 +185,8 @@ def x4_depletion(p, i):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cascade": cascade_counts,
-    "n_labels": n_labels, "n_scalars": n_scalars, "n_amounts": n_amounts, "n_dates": n_dates, "n_ngrams": n_ngrams, "n_ngrams_all": n_ngrams_all, "e_signals": e_signals, "m2_entities": m_entities,
-    "f_similarities": f_similarities, "f_similarities_all": f_similarities_all, "f_composite": f_composite,
+    "n_labels": n_labels, "n_scalars": n_scalars, "n_amounts": n_amounts, "n_dates": n_dates, "n_ngrams": n_ngrams, "e_signals": e_signals, "m2_entities": m_entities,
+    "f_similarities": f_similarities, "f_composite": f_composite,
     "t_tolerance": _views(P, I, D)(tolerance.tolerance),
     "k_credit_note": _views(P, I, C)(lambda p, i, c: tolerance.credit_note(p.withColumn("x", F.when(F.col("seq") % 10 == 9, F.col("x") - 123457).otherwise(F.col("x"))), i, c)),
     "k3_multi_credit": _views("grouped", I, C)(lambda g, i, c: tolerance.multi_credit(g.join(c.groupBy("did").agg(F.min_by("c", "cid").alias("c")), "did").select("seq", "did", (F.col("x") - F.col("c")).alias("x")), i, c)),
@@ -229,9 +217,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m4_tfidf_idf": _views(I)(lambda i: fuzzy.tfidf_fit(i)[0].select("g", F.round("idf", 9).alias("idf"))),
     "m5_tfidf_top": _views(P, I)(lambda p, i: fuzzy.tfidf_top(_prepared(p), i).select("seq", "ord", "cos", "k")),
     "m6_tfidf_match": _views(P, I)(lambda p, i: fuzzy.tfidf_match(_prepared(p), i)),
-    "l1_features": l_features, "l6_ensemble": l_ensemble, "l9_active_learning": l_active, "l10_psi": l_psi, "l12_rank": l_rank, "l12_rank_all": l_rank_all, "l13_combinations": l_combinations,
-    "x4_depletion": x4_depletion, "r9_top_tokens": _views(P)(profiler.top_tokens), "r9_label_profile": _views(P)(profiler.label_profile),
+    "l1_features": l_features, "l6_ensemble": l_ensemble, "l9_active_learning": l_active, "l10_psi": l_psi, "l12_rank": l_rank, "l13_combinations": l_combinations,
+    "q2_best_candidate": _views(P, I, D)(lambda p, i, d: review.best_candidate(review.candidates(p, i, d))),
+    "q3_queue": _views(P, I, D)(lambda p, i, d: review.queue_places(review.queue(p, i, d, AS_OF))),
+    "q4_next_item": _views(P, I, D)(lambda p, i, d: review.next_items(review.queue(p, i, d, AS_OF), 20, p.where("x > 40000000"))),
+    "r5_invoices_per_payment": r5_invoices, "x4_depletion": x4_depletion, "r9_top_tokens": _views(P)(profiler.top_tokens), "r9_label_profile": _views(P)(profiler.label_profile),
     **{name: _report(sql) for name, sql in REPORTS.items()},
 }
 
-ORACLE_SQL: dict[str, str] = {"t_tolerance": oracle(TOLERANCE), **{k: oracle(v) for k, v in REPORTS.items()}, **{k: oracle(v) for k, v in ORACLES.items()}}
+ORACLE_SQL: dict[str, str] = {"t_tolerance": oracle(TOLERANCE), **{k: oracle(v) for k, v in QUEUES.items()}, **{k: oracle(v) for k, v in REPORTS.items()}, **{k: oracle(v) for k, v in ORACLES.items()}}

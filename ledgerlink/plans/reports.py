@@ -66,14 +66,11 @@ REPORTS = {
         "SELECT seq, round(0.3e0 * least(x / 10000000.0e0, 1.0e0) + 0.25e0 * least(datediff(d0, day) / 30.0e0, 1.0e0) + 0.25e0 * CASE WHEN confidence > 0 THEN 1 - least(abs(confidence - 0.90e0) / 0.5e0, 1.0e0) ELSE 0.3e0 END + 0.2e0 * risk_pct / 100.0e0, 6) AS priority "
         "FROM (SELECT *, CAST('2001-12-31' AS date) AS d0 FROM results) r WHERE NOT matched"
     ),
-    "q2_best_candidate": "SELECT seq, ord FROM (SELECT p.seq, i.ord, row_number() OVER (PARTITION BY p.seq ORDER BY abs(p.x - i.a), i.ord) AS k FROM payments p JOIN invoices i ON p.did = i.did) t WHERE k = 1",
-    "q3_queue": _over("SELECT seq, did, x, row_number() OVER (PARTITION BY did ORDER BY x DESC, seq) AS place FROM results WHERE NOT matched"),
-    "q4_next_item": _over("SELECT did, seq FROM (SELECT did, seq, row_number() OVER (PARTITION BY did ORDER BY x DESC, seq) AS place FROM results WHERE NOT matched) t WHERE place = 1"),
     "q5_feedback": _over(
         "SELECT seq, decision, CASE WHEN decision = 'APPROVE' AND ord IS NOT NULL THEN 1.0e0 END AS confidence, CASE WHEN decision = 'APPROVE' AND ord IS NOT NULL THEN 'HUMAN_APPROVED' WHEN decision = 'CORRECT' THEN 'HUMAN_CORRECTED' END AS flag "
         "FROM (SELECT *, CASE CAST(seq % 6 AS int) WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'CORRECT' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'SPLIT' WHEN 4 THEN 'DEFER' ELSE 'ESCALATE' END AS decision FROM results WHERE NOT matched) r"
     ),
-    "q6_review_view": "SELECT did, seq, ord, a FROM (SELECT p.did, p.seq, i.ord, i.a, row_number() OVER (PARTITION BY p.seq ORDER BY i.ord) AS k FROM payments p JOIN invoices i ON p.did = i.did WHERE p.seq % 10 = 9) t WHERE k <= 50",
+    "q6_review_view": "SELECT did, seq, ord, a FROM (SELECT p.did, p.seq, i.ord, i.a, row_number() OVER (PARTITION BY p.seq ORDER BY i.ord) AS k FROM payments p JOIN invoices i ON p.did = i.did) t WHERE k <= 50",
     "q7_review_stats": _over(
         "SELECT count(*) AS n, count(CASE WHEN seq % 6 = 0 THEN 1 END) AS approved, count(CASE WHEN seq % 6 = 1 THEN 1 END) AS corrected, count(CASE WHEN seq % 6 = 2 THEN 1 END) AS rejected, "
         "round(1.0e0 * count(CASE WHEN seq % 6 = 0 THEN 1 END) / count(*), 6) AS approval_rate FROM results WHERE NOT matched"
@@ -81,12 +78,11 @@ REPORTS = {
     "r2_amount_stats": "SELECT did, count(*) AS n, round(avg(x), 3) AS mean_x, min(x) AS min_x, max(x) AS max_x, round(stddev_pop(x), 3) AS std_x, round(greatest(0, avg(x) - 2 * stddev_pop(x)), 3) AS low_x, round(avg(x) + 2 * stddev_pop(x), 3) AS high_x FROM payments GROUP BY did",
     "r3_pay_days": "SELECT did, dom, n FROM (SELECT did, dom, n, row_number() OVER (PARTITION BY did ORDER BY n DESC, dom) AS k, sum(n) OVER (PARTITION BY did) AS t FROM (SELECT did, CAST(day(day) AS int) AS dom, count(*) AS n FROM payments GROUP BY did, day(day)) c) d WHERE k <= 3 AND n >= 0.15e0 * t",
     "r4_delays": _over("SELECT r.did, round(avg(datediff(r.day, i.due)), 6) AS mean_delay, round(stddev_pop(datediff(r.day, i.due)), 6) AS std_delay FROM results r JOIN invoices i ON r.ord = i.ord WHERE r.matched GROUP BY r.did"),
-    "r5_invoices_per_payment": "SELECT did, round(avg(n), 6) AS mean_n, max(n) AS max_n, round(1.0e0 * sum(CASE WHEN n > 2 THEN 1 ELSE 0 END) / count(*), 6) AS share FROM grouped GROUP BY did",
     "r6_method_distribution": _over("SELECT did, method, count(*) AS n, round(1.0e0 * count(*) / sum(count(*)) OVER (PARTITION BY did), 6) AS share FROM results WHERE matched GROUP BY did, method"),
     "r7_flag_rates": _over("SELECT did, round(1.0e0 * sum((length(flags) - length(replace(flags, 'RETENTION', ''))) div 9) / count(*), 6) AS retention, round(1.0e0 * sum((length(flags) - length(replace(flags, 'DISCOUNT', ''))) div 8) / count(*), 6) AS discount FROM results GROUP BY did"),
     "r8_layer_distribution": _over(f"SELECT did, layer, count(*) AS n FROM results GROUP BY did, layer"),
     "r11_anomalies": "SELECT p.seq, p.did FROM payments p JOIN (SELECT did, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM payments GROUP BY did) b ON p.did = b.did WHERE b.n >= 10 AND (p.x > b.m + 2 * b.s OR p.x < 0.5e0 * (b.m - 2 * b.s))",
-    "r12_suggestions": "SELECT seq, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, ord) AS k FROM (SELECT p.seq, i.ord, CASE WHEN p.x = i.a THEN 35 WHEN 20 * abs(p.x - i.a) < i.a THEN 25 WHEN 5 * abs(p.x - i.a) < i.a THEN 10 ELSE 0 END + CASE WHEN abs(datediff(p.day, i.due)) <= 5 THEN 25 WHEN abs(datediff(p.day, i.due)) <= 15 THEN 10 ELSE 0 END + 20 AS score FROM payments p JOIN invoices i ON p.did = i.did WHERE p.seq % 10 = 9) s WHERE score > 10) t WHERE k <= 5",
+    "r12_suggestions": "SELECT seq, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, ord) AS k FROM (SELECT p.seq, i.ord, CASE WHEN p.x = i.a THEN 35 WHEN 20 * abs(p.x - i.a) < i.a THEN 25 WHEN 5 * abs(p.x - i.a) < i.a THEN 10 ELSE 0 END + CASE WHEN abs(datediff(p.day, i.due)) <= 5 THEN 25 WHEN abs(datediff(p.day, i.due)) <= 15 THEN 10 ELSE 0 END + 20 AS score FROM payments p JOIN invoices i ON p.did = i.did) s WHERE score > 10) t WHERE k <= 5",
     "o6_monitoring": _over("SELECT count(*) AS n, round(1.0e0 * sum(CASE WHEN matched THEN 1 ELSE 0 END) / count(*), 6) AS auto_rate, CAST(sum(CASE WHEN matched THEN 0 ELSE 1 END) AS bigint) AS backlog, round(1.0e0 * sum(CASE WHEN matched AND ord = seq THEN 1 ELSE 0 END) / sum(CASE WHEN matched THEN 1 ELSE 0 END), 6) AS prec FROM results"),
     "o7_by_layer": _over("SELECT l.layer, count(r.seq) AS n FROM (SELECT 0 AS layer UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) l LEFT JOIN results r ON r.layer = l.layer GROUP BY l.layer"),
     "o7_by_method": _over("SELECT method, count(*) AS n, CAST(sum(ord) AS bigint) AS ords FROM results GROUP BY method"),
@@ -103,5 +99,17 @@ REPORTS = {
         "+ 25 + CASE WHEN abs(datediff(r.day, i.due)) <= 7 THEN 20 WHEN abs(datediff(r.day, i.due)) <= 30 THEN 10 ELSE 0 END AS score FROM (SELECT * FROM results WHERE NOT matched) r JOIN invoices i ON r.did = i.did) s WHERE score > 10) t WHERE k <= 5"
     ),
 }
-#: The same for every payment: r12_suggestions and q6_review_view take one in ten.
-REPORTS |= {f"{name}_all": REPORTS[name].replace(" WHERE p.seq % 10 = 9", "") for name in ("r12_suggestions", "q6_review_view")}
+
+_FOUND = f"""found AS (SELECT seq, ord, {_chain(lambda r, c, f, a: f"'{r}'")} AS rule, CAST({_chain(lambda r, c, f, a: c)} AS double) AS confidence
+  FROM payments p JOIN invoices i USING (did) LEFT JOIN (SELECT did, country, sector, discount_pct, retention_pct, rfa_pct FROM debtors) d USING (did)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, ord) AS k FROM found WHERE rule IS NOT NULL) b WHERE k = 1)"""
+_QUEUE = f"""{_FOUND}, queue AS (SELECT p.seq, p.did, round(0.3e0 * least(p.x / 10000000e0, 1e0) + 0.25e0 * coalesce(least(datediff(d0, day) / 30e0, 1e0), 0.5e0)
+  + 0.25e0 * CASE WHEN b.confidence IS NOT NULL THEN 1 - least(abs(b.confidence - 0.90e0) / 0.5e0, 1e0) ELSE 0.3e0 END + 0.2e0 * coalesce(d.risk_pct / 100e0, 0.5e0), 6) AS priority, date_add(p.day, 1) AS deadline, p.x
+  FROM (SELECT *, CAST('2001-12-31' AS date) AS d0 FROM payments) p LEFT JOIN best b ON p.seq = b.seq LEFT JOIN debtors d ON p.did = d.did WHERE b.confidence IS NULL OR b.confidence < 0.90e0)"""
+#: The oracle's SQL of queries that are DataFrame code.
+QUEUES = {
+    "q2_best_candidate": f"WITH {_FOUND} SELECT seq, ord, rule, confidence FROM best",
+    "q3_queue": f"WITH {_QUEUE} SELECT seq, did, priority, deadline, row_number() OVER (PARTITION BY did ORDER BY priority DESC, seq) AS place FROM queue",
+    "q4_next_item": f"WITH {_QUEUE} SELECT seq, did, priority, deadline FROM queue WHERE x <= 40000000 ORDER BY priority DESC, seq LIMIT 20",
+    "r5_invoices_per_payment": "SELECT did, round(avg(n), 6) AS mean_n, max(n) AS max_n, round(1e0 * count(CASE WHEN n > 1 THEN 1 END) / count(*), 6) AS share FROM (SELECT did, 1 AS n FROM payments UNION ALL SELECT did, n FROM grouped) e GROUP BY did",
+}

@@ -16,10 +16,25 @@ from ledgerlink.sources.fixtures import view
 
 def test_every_payment_is_asked(spark, sf_dir):
     seqs = {r.seq for r in view(spark, sf_dir, "payments").select("seq").collect()}
-    for name in ("l12_rank_all", "q6_review_view_all", "r12_suggestions_all"):
+    for name in ("l12_rank", "q6_review_view", "r12_suggestions"):
         assert {r.seq for r in registry.QUERIES[name](spark, sf_dir).select("seq").distinct().collect()} == seqs, name
-    part, whole = ({r.g: r.n for r in registry.QUERIES[n](spark, sf_dir).collect()} for n in ("n_ngrams", "n_ngrams_all"))
-    assert sum(whole.values()) > 15 * sum(part.values()) and all(whole[g] >= n for g, n in part.items())
+    labels = [r.label for r in view(spark, sf_dir, "payments").select("label").collect()]
+    bare = ["".join(x.split()) for x in labels]
+    want = Counter(c[i : i + n] for c in bare for n in (3, 4, 5) for i in range(len(c) - n + 1))
+    assert {r.g: r.n for r in registry.QUERIES["n_ngrams"](spark, sf_dir).collect()} == want
+
+
+def test_hypotheses_in_order(spark):
+    """The exact triple comes before a pair under a later hypothesis."""
+    from ledgerlink.operators.combinatorial import subset_sum
+
+    amounts = [10000, 9000, 8950, 8020, 5000, 3000]
+    invoices = spark.createDataFrame([(i + 1, 1, a) for i, a in enumerate(amounts)], "ord long, did long, a long")
+    debtors = spark.createDataFrame([(1, "FR", 0, 0)], "did long, country string, discount_pct int, retention_pct int")
+    payments = spark.createDataFrame([(1, 1, 17000), (2, 1, 16970), (3, 1, 18000)], "seq long, did long, x long")
+    none = spark.createDataFrame([], "cid long, did long, c long")
+    got = {r.seq: (r.rule, r.s) for r in subset_sum(payments, invoices, debtors, none).collect()}
+    assert got == {1: ("R-SS-EXACT", 17000), 2: ("R-SS-EXACT", 16970), 3: ("R-SS-EXACT", 18000)}
 
 
 def test_every_group_gets_subsets(spark, sf_dir):
@@ -96,7 +111,7 @@ def test_cascade_has_tfidf_and_a_model(spark, sf_dir):
 def test_every_pair_of_a_debtor_is_scored(spark, sf_dir):
     p, i, d = (view(spark, sf_dir, n) for n in ("payments", "invoices", "debtors"))
     pairs = p.select("seq", "did").join(i.select("did", "ord"), "did").count()
-    for name in ("f_similarities_all", "f_composite", "l1_features"):
+    for name in ("f_similarities", "f_composite", "l1_features"):
         assert registry.QUERIES[name](spark, sf_dir).select("seq", "ord").distinct().count() == pairs, name
     got = registry.QUERIES["l1_features"](spark, sf_dir).join(p.select("seq", "did"), "seq").join(d.select("did", "risk_pct", F.col("avg_delay").alias("delay"), "discount_pct"), "did")
     assert got.where("abs(risk - risk_pct / 100) > 1e-9 or avg_delay <> delay or has_discount <> int(discount_pct > 0)").count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ _own_dirs: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     key = id(spark.sparkContext)
     if key not in _own_dirs:
         _own_dirs[key] = tempfile.mkdtemp(prefix="ledgerlink-")

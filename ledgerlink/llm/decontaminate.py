@@ -10,7 +10,7 @@ The benchmark is broadcast in blocks of at most `block_bytes` of text: a benchma
 passes as it has blocks, each a set of queries of bounded size against all rows. Documents are never shuffled.
 
 Defined cases: null or empty texts on either side match nothing. Items shorter than the shortest mask are sought whole,
-word for word, by a mask of their own length. Equal items all report. Repeated rows are each judged. Extra columns are
+word for word, by a mask of their own length. Equal items all report; a null item_id is an id of its own. Repeated rows are each judged. Extra columns are
 kept by `drop_contaminated` and ignored otherwise. Empty tables: nothing is contaminated.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_bytes, cut, documents, lower_ascii, mix, range_hashes, slices, word_ranges
+from .common import U64, arrow_bytes, cut, documents, drop_cuts, lower_ascii, mix, range_hashes, slices, word_ranges
 
 #: Items of six to eight words have runs of half of them besides. Weight 6, spans 8 to 10: of any 12 aligned words with one substitution at least one seed is untouched.
 MASKS = ("11101011", "1101001011", "110011011", "111111")
@@ -58,7 +58,9 @@ class Index:
         data = [t.encode() for t in texts]
         off = np.append(0, np.cumsum([len(d) for d in data])).astype(np.int64)
         self.words, row = _words(np.frombuffer(b"".join(data), np.uint8), off)
-        self.ids = np.array(ids, np.int64)
+        self.none = np.array([i is None for i in ids])
+        self.ids = np.array([i or 0 for i in ids], np.int64)
+        self.code = np.unique(np.stack([self.none.astype(np.int64), self.ids]), axis=1, return_inverse=True)[1].ravel()  # equal ids have equal codes, null its own
         self.edge = np.searchsorted(row, np.arange(len(ids) + 1))
         size = np.diff(self.edge)
         short = sorted({int(s) for s in size if 0 < s < min(map(len, masks))})
@@ -144,12 +146,12 @@ def _find(index, min_matches: int, penalty: int):
                 good = ix.verify(words, edge, hits, min_matches, penalty)
                 took = good > 0
                 item, at, good = hits[0][took], hits[1][took], good[took]
-                by = np.lexsort((-good, ix.ids[item], at))
+                by = np.lexsort((-good, ix.code[item], at))
                 item, at, good = item[by], at[by], good[by]
-                one = np.append(True, (at[1:] != at[:-1]) | (ix.ids[item][1:] != ix.ids[item][:-1])) if len(at) else np.zeros(0, bool)
+                one = np.append(True, (at[1:] != at[:-1]) | (ix.code[item][1:] != ix.code[item][:-1])) if len(at) else np.zeros(0, bool)
                 item, at, good = item[one], at[one], good[one]
                 ends = pa.array(np.searchsorted(at, np.arange(j - i + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (ix.ids[item], good)]
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(ix.ids[item], pa.int64(), mask=ix.none[item]), pa.array(good, pa.int64()))]
                 rest = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
                 before = rest[-2:]
                 if len(before[0].values) or before[0].null_count:
@@ -164,7 +166,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
     ids, texts, size = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
     for r in rows.toLocalIterator():
-        ids.append(r[0] if r[0] is not None else -1)
+        ids.append(r[0])
         texts.append(r[1])
         size += len(r[1])
         if size > block_bytes:
@@ -180,10 +182,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_cols: tuple[str, ...] =
     none = F.array().cast("array<long>")
     out = docs.select(F.col(id_cols[0]), "text", *id_cols[1:]).withColumns({"item_ids": none, "matched": none})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    held = last = None
     for k, (ids, texts) in enumerate(_blocks(benchmark, block_bytes)):
         index = spark.sparkContext.broadcast(Index(ids, texts, masks))  # one block: block_bytes bounds it
-        if k:
-            out = cut(out, "leaks")  # one block in memory at a time
+        if k:  # one block in memory at a time, one table on disk
+            out, before = cut(out, "leaks"), held
+            last.unpersist()
+            if before is not None:
+                drop_cuts(before)
+            held = out
+        last = index
         out = out.mapInArrow(_find(index, min_matches, penalty), schema)
     return out
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, chat_format, cotraining, decontaminate, katz, line_dedup, minhash, quality_rules, suffix_dedup, url_filters
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_minhash": minhash.op3_minhash,

@@ -281,8 +281,10 @@ def test_decontaminate(spark, docs, odd, none, sf_dir):
     assert blocks == {d: sorted(x) for d, x in found.items()}
     assert drop_contaminated(odd, bench).columns == odd.columns and drop_contaminated(odd, bench).count() == len(ODD)
     assert drop_contaminated(odd, bench.limit(0)).count() == len(ODD) and contamination(none, bench).count() == 0
-    short = spark.createDataFrame([(1, "one two three"), (2, None), (3, "")], "item_id long, text string")
-    assert {r.doc_id for r in contamination(odd, short).where("contaminated").collect()} == {6}
+    short = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (None, "one two three"), (-1, "one two"), (1, "one two three")], "item_id long, text string")
+    for options in ({}, {"block_bytes": 5}):
+        hit = {r.doc_id: sorted(r.item_ids, key=str) for r in contamination(odd, short, **options).where("contaminated").collect()}
+        assert hit == {5: [-1], 6: [-1, 1, None] if not options else hit[6]} and set(hit[6]) == {-1, 1, None}
 
 
 def test_katz(docs, odd, none):
@@ -378,6 +380,30 @@ def test_url_filters(spark, sf_dir):
         assert np.allclose(got.get(f"h{i}", (0, 0)), r[:, i])
 
 
+def test_pipeline_stages_on_awkward_rows(spark, sf_dir):
+    """Nulls in any column, empty and long texts, repeated ids and rows, an empty table: every stage keeps the columns and drops no more than it says."""
+    import corpus_pipeline as cp
+
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = " ".join(f"ordinary{i * 7 % 53} words{i}" for i in range(40))
+    rows = [(d, t, None if d % 2 else "en", None if d % 3 else "web", None) for d, t in ODD] + [(None, None, None, None, None), (50, good, "en", "web", 1), (50, good, "en", "web", 1), (50, good + " more words", "en", "web", 1), (51, "", None, "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(plain.schema[c].dataType) for c in plain.columns])
+    for name, f in cp.STAGES:
+        got = f(spark, docs, sf_dir)
+        empty = f(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and empty.columns == got.columns
+        if name != "tokens":
+            assert got.schema.names == docs.columns
+        left = sorted((r.doc_id if r.doc_id is not None else -1 for r in got.collect()))
+        every = sorted(r[0] if r[0] is not None else -1 for r in rows)
+        if name in ("line dedup", "decontamination", "tokens"):
+            assert left == every
+        elif name == "near duplicates":
+            assert left.count(50) == 1 and {1, 2, 3, -1, 51} < set(left) and not {9, 20} & set(left)
+        else:
+            assert 50 in left and not {1, 2, 3, 51, -1} & set(left)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 

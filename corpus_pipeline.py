@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of `documents`; the last one returns a row of token digests per
-document. Rows are told apart by id and text, so equal ids with different texts are judged separately.
+document.
+
+Defined cases, in every stage: rows are told apart by id and text, so equal ids with different texts are judged each
+for itself; a null text is handled as an empty one, a null language or source is a value of its own, a null id is an id
+that comes last among near duplicates; texts of any length are handled whole; extra columns pass through; an empty
+table gives an empty one. What becomes of blank texts and of repeated rows is said with each stage.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ from ledgerlink.llm.quality_rules import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Blank texts have too few words and go; repeated rows and ties are judged alike."""
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of three-line windows; n_chars follows the text."""
+    """All documents, without later occurrences of three-line windows; n_chars follows the text. Repeated rows are one occurrence; a text may end up empty."""
     out = remove_repeated_lines(docs)
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -39,12 +44,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Blank texts hold none; repeated rows are judged alike."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded bytes."""
+    """doc_id, n_tokens and the digests of ids and decoded bytes of every row. Blank texts have their own tokens, empty ones none."""
     return digest_documents(docs)
 
 

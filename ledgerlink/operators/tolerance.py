@@ -46,6 +46,28 @@ def pairs(payments: DataFrame, invoices: DataFrame) -> DataFrame:
     return payments.join(invoices, "did")
 
 
+#: Width of a cell of relative amounts: one per cent of an invoice is 3.4 per cent of a payment of 30 per cent of it.
+_CELL = 0.04
+
+
+def unknown_pairs(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Payments without a debtor with the whole portfolio's invoices that a band open to them can fit.
+
+    Those bands are a fixed number of cents or a share of the invoice, so payments look into cells of both kinds and
+    their neighbours: an equi-join, whatever the portfolio's size. Columns of pairs(); did is null.
+    """
+    shares = [100, *INSTALLMENT_PERCENT]
+    step = max(ROUNDING_CENTS, OUR_FEE_CENTS, SWIFT_FEE_CENTS) + 1
+    log = lambda c: F.floor(F.log(c) / _CELL)
+    cents = lambda c: F.struct(F.lit(0).alias("kind"), F.floor(c / step).alias("cell"))
+    shared = lambda p, c: F.struct(F.lit(p).alias("kind"), c.alias("cell"))
+    keys = F.array(cents(F.col("a")), *[F.when(F.col("a") > 0, shared(p, log(F.col("a") * p / 100))) for p in shares])
+    open_ = invoices.drop("did").withColumn("_k", F.explode(F.array_compact(keys)))
+    near = [cents(F.col("x") + d * step) for d in (-1, 0, 1)] + [F.when(F.col("x") > 0, shared(p, log(F.col("x")) + d)) for p in shares for d in (-1, 0, 1)]
+    asked = payments.where("did is null").withColumn("_k", F.explode(F.array_compact(F.array(*near))))
+    return asked.join(open_, "_k").drop("_k")
+
+
 def first_per_payment(df: DataFrame, *order: str) -> DataFrame:
     """The first row of each payment. Ranks prune before the shuffle (group limits), so hot debtors send one row a task."""
     rank = F.row_number().over(Window.partitionBy("seq").orderBy(*order))
@@ -53,9 +75,11 @@ def first_per_payment(df: DataFrame, *order: str) -> DataFrame:
 
 
 def tolerance(payments: DataFrame, invoices: DataFrame, debtors: DataFrame) -> DataFrame:
-    """seq, ord, rule, confidence, flag, allocated: the first invoice, in order, on which a band fires."""
+    """seq, ord, rule, confidence, flag, allocated: the first invoice, in order, on which a band fires; of the whole portfolio where the debtor is unknown."""
     rich = payments.join(debtors.drop("iban", "name"), "did", "left")
-    hits = pairs(rich, invoices.select("did", "ord", "a")).withColumn("hit", classify()).where("hit is not null")
+    open_ = invoices.select("did", "ord", "a")
+    every = pairs(rich, open_).unionByName(unknown_pairs(rich, open_))
+    hits = every.withColumn("hit", classify()).where("hit is not null")
     return first_per_payment(hits.select("seq", "ord", "hit"), "ord").select("seq", "ord", "hit.*")
 
 

@@ -37,6 +37,38 @@ def test_hypotheses_in_order(spark):
     assert got == {1: ("R-SS-EXACT", 17000), 2: ("R-SS-EXACT", 16970), 3: ("R-SS-EXACT", 18000)}
 
 
+def test_unknown_debtors_see_the_portfolio(spark):
+    """Every band that needs no debtor, against all pairs; known debtors see their own invoices only."""
+    from ledgerlink.operators.tolerance import tolerance
+
+    amounts = [100, 5000, 5050, 40000, 123456, 123500, 1000000, 1000090, 33333333]
+    invoices = spark.createDataFrame([(i + 1, i % 3, a) for i, a in enumerate(amounts)], "ord long, did long, a long")
+    debtors = spark.createDataFrame([(0, "n", "i", "FR", "x", 0, 0, 0), (1, "n", "i", "US", "x", 2, 0, 0), (2, "n", "i", "FR", "BTP", 0, 0, 0)], "did long, name string, iban string, country string, sector string, discount_pct int, retention_pct int, rfa_pct int")
+    xs = sorted({v for a in amounts for v in (a - 1400, a - 99, a, a + 1, a + 100, a + 101, a * 3 // 10, a * 4 // 10 + a // 250, a // 2, a * 7 // 10 - a // 120) if v > 0})
+    rows = [(10 * k + j, None if j else 2, x, "VIR OUR X" if j == 2 else "VIR X") for k, x in enumerate(xs) for j in range(3)]
+    payments = spark.createDataFrame(rows, "seq long, did long, x long, label string")
+    got = {r.seq: (r.ord, r.rule) for r in tolerance(payments, invoices, debtors).collect()}
+    want = {}
+    for s, d, x, label in rows:
+        if d is None:
+            for o, a in enumerate(amounts, 1):
+                rule = "R-M004" if x != a and abs(x - a) <= 100 else "R-M002" if "OUR" in label and -1500 <= x - a < 0 else "R-M012" if any(abs(1000 * x - 10 * a * p) < 10 * a for p in (30, 40, 50, 70)) else None
+                if rule:
+                    want[s] = (o, rule)
+                    break
+    assert want and {s: v for s, v in got.items() if s % 10} == want
+
+
+def test_profiles_move_results_before_the_threshold(spark):
+    from ledgerlink.plans.profiles import boosted, learn
+
+    payments = spark.createDataFrame([(i, 1, 1000 + i) for i in range(20)] + [(100, 1, 1010), (101, 1, 9000), (102, 2, 5), (103, None, 7)], "seq long, did long, x long")
+    results = spark.createDataFrame([(i, "A") for i in range(20)] + [(102, "A")], "seq long, rule string")
+    hits = spark.createDataFrame([(100, "A", 0.88), (101, "B", 0.91), (102, "A", 0.5), (103, "A", 0.6)], "seq long, rule string, confidence double")
+    got = {r.seq: r.confidence for r in boosted(hits, payments, *learn(payments, results)).collect()}
+    assert got == {100: 0.93, 101: 0.86, 102: 0.5, 103: 0.6}
+
+
 def test_every_group_gets_subsets(spark, sf_dir):
     two = {r.seq for r in registry.QUERIES["b4_two_sum"](spark, sf_dir).collect()}
     for name in ("b3_subset_sum", "b6_meet_in_the_middle"):

@@ -214,7 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d2_near_duplicates": _views(P)(lambda p: temporal.near_duplicates(p.unionByName(p.where("seq % 50 = 0").select((F.col("seq") + 20000000).alias("seq"), "did", F.date_add("day", 1).alias("day"), (F.col("x") + 20).alias("x"), "iban", "label")))),
     "m1_fuzzy": _views(P, I)(lambda p, i: fuzzy.fuzzy_reference(_prepared(p), i)),
     "m3_combined": _views(P, I)(lambda p, i: fuzzy.combined_evidence(_prepared(p), i)),
-    "m4_tfidf_idf": _views(I)(lambda i: fuzzy.tfidf_fit(i)[0].select("g", F.round("idf", 9).alias("idf"))),
+    "m4_tfidf_idf": _views(I)(lambda i: fuzzy.tfidf_fit(i).select("g", F.round("idf", 9).alias("idf"))),
     "m5_tfidf_top": _views(P, I)(lambda p, i: fuzzy.tfidf_top(_prepared(p), i).select("seq", "ord", "cos", "k")),
     "m6_tfidf_match": _views(P, I)(lambda p, i: fuzzy.tfidf_match(_prepared(p), i)),
     "l1_features": l_features, "l6_ensemble": l_ensemble, "l9_active_learning": l_active, "l10_psi": l_psi, "l12_rank": l_rank, "l13_combinations": l_combinations,

@@ -147,31 +147,3 @@ def test_every_pair_of_a_debtor_is_scored(spark, sf_dir):
         assert registry.QUERIES[name](spark, sf_dir).select("seq", "ord").distinct().count() == pairs, name
     got = registry.QUERIES["l1_features"](spark, sf_dir).join(p.select("seq", "did"), "seq").join(d.select("did", "risk_pct", F.col("avg_delay").alias("delay"), "discount_pct"), "did")
     assert got.where("abs(risk - risk_pct / 100) > 1e-9 or avg_delay <> delay or has_discount <> int(discount_pct > 0)").count() == 0
-
-
-def test_cotraining_reads_the_whole_pool(spark):
-    from ledgerlink.llm.cotraining import train
-
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    unlabelled = docs.join(labels, "doc_id", "left_anti")
-    more = docs.unionByName(unlabelled.crossJoin(spark.range(1, 9).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + F.col("copy") * 10000000).select(docs.columns))
-    assert unlabelled.count() * 9 > 4000
-    once, often = train(docs, labels, rounds=1), train(more, labels, rounds=1)
-    assert once["pool"] and (often["mean"] != once["mean"]).any()
-    total = lambda m: sum(n for t, *both in m["pool"] for n in both)
-    assert total(often) > 5 * total(once)  # every copy of a confident document counts
-
-
-@pytest.mark.parametrize("n", [6, 7, 8, 9])
-def test_short_items_have_a_seed_for_each_substitution(n):
-    import numpy as np
-
-    from ledgerlink.llm.decontaminate import MASKS, Index, _words
-
-    item = "alpha bravo charlie delta echo foxtrot golf hotel india".split()[:n]
-    index = Index([1], [" ".join(item)], MASKS)
-    for k in range(n):
-        text = " ".join(["x", *item[:k], "zulu", *item[k + 1 :], "y"]).encode()
-        words, row = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        assert (index.hits(words, row)[2] == 1).any(), (n, k)

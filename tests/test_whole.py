@@ -147,3 +147,14 @@ def test_every_pair_of_a_debtor_is_scored(spark, sf_dir):
         assert registry.QUERIES[name](spark, sf_dir).select("seq", "ord").distinct().count() == pairs, name
     got = registry.QUERIES["l1_features"](spark, sf_dir).join(p.select("seq", "did"), "seq").join(d.select("did", "risk_pct", F.col("avg_delay").alias("delay"), "discount_pct"), "did")
     assert got.where("abs(risk - risk_pct / 100) > 1e-9 or avg_delay <> delay or has_discount <> int(discount_pct > 0)").count() == 0
+
+
+def test_the_bound_leaves_out_only_weak_pairs(spark, sf_dir):
+    p, i = preprocess(view(spark, sf_dir, "payments").where("seq % 2 = 0")), view(spark, sf_dir, "invoices")
+    misread = p.withColumn("refs", F.transform("refs", lambda r: F.translate(r, "01", "OI")))
+    both = p.unionByName(misread.withColumn("seq", F.col("seq") + 10**9))
+    rows = lambda least: {(r.seq, r.pos, r.ord): (r.f, r.score) for r in fuzzy.scored_pairs(both, i, least).collect()}
+    every, some = rows(0.0), rows(0.6)
+    strong = {k: v for k, v in every.items() if max(v) >= 0.6}
+    assert strong and len(some) < len(every) and strong == {k: v for k, v in some.items() if max(v) >= 0.6}
+    assert any(f < score for f, score in strong.values())  # a mended reading won somewhere

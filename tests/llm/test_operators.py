@@ -107,6 +107,24 @@ def test_near_duplicates_in_rounds(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 10: 5}
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """Hundreds of copies that are linked to one of them only, which the stars need not draw."""
+    from ledgerlink.llm import minhash
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(500):
+        w = [f"w{i}" for i in range(150)]
+        for at in rng.choice(150, 4 if c != 77 else 0, replace=False):
+            w[at] = f"x{rng.integers(10**6)}"
+        rows.append((c, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = ref.near_duplicates(rows, 3, 85)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(df, 3, 85).collect()) == want
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 150)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(df, 3, 85, rounds=1).collect()) == want
+
+
 def test_texts_that_collide_in_linear_hashes(spark):
     """Thue-Morse words of 1,024 letters and their complements agree in every polynomial hash modulo 2**64."""
     from ledgerlink.llm.common import range_hashes

@@ -158,3 +158,15 @@ def test_the_bound_leaves_out_only_weak_pairs(spark, sf_dir):
     strong = {k: v for k, v in every.items() if max(v) >= 0.6}
     assert strong and len(some) < len(every) and strong == {k: v for k, v in some.items() if max(v) >= 0.6}
     assert any(f < score for f, score in strong.values())  # a mended reading won somewhere
+
+
+def test_cascade_broadcasts_what_was_measured(spark, sf_dir, monkeypatch):
+    """No plan of the cascade goes by the size of compressed files; the session's settings come back."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    now = lambda: tuple(spark.conf.get(k, None) for k in keys)
+    before, seen, cut = now(), [], cascade.cut
+    monkeypatch.setattr(cascade, "cut", lambda df, name: (seen.append((name, now())), cut(df, name))[1])
+    p, i, d, c = (view(spark, sf_dir, n) for n in ("payments", "invoices", "debtors", "credits"))
+    cascade.cascade(p.where("seq % 50 = 0"), i, d, c, subsets=False, similarity=False)
+    assert {"layer1", "layer2", "results"} <= {name for name, _ in seen} and {conf for _, conf in seen} == {("-1", "1MB")}
+    assert now() == before

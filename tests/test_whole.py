@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.signals import preprocess
 from ledgerlink.operators import fuzzy, scoring
+from ledgerlink.operators import portfolio as tfidf_portfolio
 from ledgerlink.plans import cascade, registry
+from ledgerlink.sources.durable import scratch
 from ledgerlink.sources.fixtures import view
 
 
@@ -127,6 +130,29 @@ def test_tfidf_is_exact(spark, kind):
     assert best and {r.seq: r.ord for r in fuzzy.tfidf_match(p, i).collect()} == best
 
 
+def test_tfidf_match_writes_no_row_for_a_gram_or_a_pair(spark):
+    payments, invoices = portfolio("skewed")
+    p, i = spark.createDataFrame(payments, "seq long, did long, x long, label_n string"), spark.createDataFrame(invoices, "ord long, did long, a long, reference string")
+    with scratch(spark) as made:
+        assert fuzzy.tfidf_match(p, i).count()
+        assert sum(spark.read.parquet(path).count() for path in made) <= 2 * (len(payments) + len(invoices))
+
+
+def test_packed_vectors_are_those_of_the_texts():
+    texts = ["inv-00000007 5 1.00", "fac-1996-00000014 5 1.00", "", "é", "aé\U0001f600bb\0\0", "aaaaa"]
+    count = [Counter(t[a : a + n] for n in (2, 3, 4) for a in range(len(t) - n + 1)) for t in texts]
+    df = Counter(g for c in count for g in c)
+    _, gram, _, hi, lo = tfidf_portfolio.grams_of(texts)
+    v = tfidf_portfolio.Vocabulary(hi, lo, np.bincount(gram), len(texts))
+    assert len(v) == len(df)
+    row, _, tf, w, norm = v.vectors([*texts, "zzzz inv-"])
+    for r, c in enumerate([*count, Counter(g for g in df if g in ("in", "nv", "v-", "inv", "nv-", "inv-"))]):
+        weights = {g: n * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in c.items()}
+        length = math.sqrt(sum(x * x for x in weights.values()))
+        assert sorted(tf[row == r]) == sorted(c.values()) and norm[r] == pytest.approx(length)
+        assert sorted(w[row == r]) == pytest.approx(sorted(x / length for x in weights.values()))
+
+
 def test_cascade_has_tfidf_and_a_model(spark, sf_dir):
     p, i, d = (view(spark, sf_dir, n) for n in ("payments", "invoices", "debtors"))
     one = i.orderBy("ord").limit(40)
